@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from docmill.functions.accumulators import ACCUMULATORS
 from docmill.functions.expr import FUNCTIONS
+from docmill.storage import on_workers
 
 
 def register_function(name: str, function: Callable, returns: T.DataType) -> None:
@@ -45,6 +46,7 @@ def map_reduce(df: DataFrame, mapper: Callable[[dict], Iterable[tuple]], reducer
     """
     fields = T._parse_datatype_string(schema)
     key, value = fields.fieldNames()
+    on_workers(df.sparkSession)
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

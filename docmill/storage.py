@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers that see this file system import this package.  Clusters
+    that do not share it ship the package with ``--py-files``."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only a session without it (a local one) gets a
     temporary folder."""
