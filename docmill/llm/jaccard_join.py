@@ -7,15 +7,18 @@ Documents are sets of word 5-gram hashes in one global order (the hash order).
    postings, packed as arrays by hash range, are counted once; a gram that several
    sets of one slice share is posted once for the slice, so a gram held by a third of
    all documents costs a posting per slice.  This leaves the candidates.
-3. Two linked sets share a gram of their prefixes (the first quarter plus one).
+3. Candidates' grams are ordered by how many candidates hold them, the rarest first.
+   Two linked sets share a gram of their prefixes in that order (the first quarter
+   plus one), so passages that many documents quote stay out of the prefixes.
    Candidates joined by prefix grams, through the least class of each gram rather
    than in pairs, form families.
 4. Each family's sets are stored in a prefix tree.  Every set traverses the tree
    once: overlaps are accumulated along shared paths, and a subtree is left when its
    remaining lengths cannot reach the threshold or its sets already belong to the
-   same component.  Families over ``BLOCK`` sets are cut into blocks that share pivot
-   sets; pairs of blocks are traversed afterwards only as far as their components
-   still differ, so no link between different texts is lost.
+   same component.  Families over ``BLOCK`` sets are cut by size class and hash into
+   blocks that share pivot sets; pairs of blocks of equal or neighbouring size class
+   are traversed afterwards only as far as their components still differ, so no link
+   between different texts is lost.
 
 Defined cases: null or empty text has an empty set, links with nothing and is its own
 component; fewer than five words are one gram; repeated rows and ties fall into one
@@ -162,17 +165,52 @@ def _candidates(docs: DataFrame, ranges: int) -> DataFrame:
     return heads.unionAll(counted).groupBy("slice").applyInArrow(choose, "mark binary").distinct()
 
 
-def _families(sets: DataFrame, ranges: int) -> DataFrame:
+def _prefixes(sets: DataFrame, ranges: int) -> DataFrame:
+    """(mark, grams) with the prefix of each set, rarest grams first."""
+
+    def post(table: pa.Table) -> pa.Table:
+        h, n = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("grams").to_pylist()]), return_counts=True)
+        borders, key = _by_range(h, ranges), table.column("slice")[0].as_py()
+        rows = [(r, key, h[a:b].tobytes(), n[a:b].astype("<u4").tobytes()) for r, (a, b) in enumerate(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)) if b > a]
+        return pa.table([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["rng", "slice", "h", "n"])
+
+    def total(table: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(x, dtype=np.uint64) for x in table.column("h").to_pylist()]
+        h, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate([np.frombuffer(x, dtype="<u4") for x in table.column("n").to_pylist()]), minlength=len(h))
+        at = np.cumsum([0, *[len(x) for x in hashes]])
+        sums = [np.minimum(n[place[a:b]], 2**32 - 1).astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.table([table.column("rng").cast(pa.int32()), table.column("slice"), table.column("h"), pa.array(sums, pa.binary())], names=["rng", "slice", "h", "n"])
+
+    def cut(mine: pa.Table, counts: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in counts.column("h").to_pylist()])
+        n = np.concatenate([np.frombuffer(x, dtype="<u4") for x in counts.column("n").to_pylist()])
+        by = np.argsort(h)
+        h, n, out = h[by], n[by], []
+        for x in mine.column("grams").to_pylist():
+            grams = np.frombuffer(x, dtype=np.uint64)
+            order = np.lexsort((grams, n[np.searchsorted(h, grams)]))
+            rare = grams[order[: len(grams) - -(-NUM * len(grams) // DEN) + 1]]
+            # A gram that no other candidate holds cannot lead anywhere.
+            out.append(rare[n[np.searchsorted(h, rare)] > 1].tobytes())
+        return pa.table([mine.column("mark"), pa.array(out, pa.binary())], names=["mark", "grams"])
+
+    schema = "rng int, slice bigint, h binary, n binary"
+    posted = sets.groupBy("slice").applyInArrow(lambda t: post(t), schema)
+    counts = posted.groupBy("rng").applyInArrow(lambda t: total(t), schema)
+    return materialize(sets.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(lambda a, b: cut(a, b), "mark binary, grams binary"), "prefixes")
+
+
+def _families(prefixes: DataFrame, ranges: int) -> DataFrame:
     """Edges (a, b) of marks that join the sets sharing a prefix gram."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, grams = batch.column("mark").to_pylist(), [np.frombuffer(x, dtype=np.uint64) for x in batch.column("grams").to_pylist()]
-            if not marks:
+            marks, prefixes = batch.column("mark").to_pylist(), [np.frombuffer(x, dtype=np.uint64) for x in batch.column("grams").to_pylist()]
+            if not any(map(len, prefixes)):
                 continue
             order = sorted(range(len(marks)), key=marks.__getitem__)  # places follow marks
-            marks, grams = [marks[i] for i in order], [grams[i] for i in order]
-            prefixes = [g[: len(g) - -(-NUM * len(g) // DEN) + 1] for g in grams]
+            marks, prefixes = [marks[i] for i in order], [prefixes[i] for i in order]
             h, who = np.concatenate(prefixes), np.repeat(np.arange(len(marks)), [len(p) for p in prefixes])
             by = np.lexsort((who, h))
             h, who = h[by], who[by]
@@ -198,7 +236,7 @@ def _families(sets: DataFrame, ranges: int) -> DataFrame:
         pairs = {(least[i].tobytes(), marks[i].tobytes()) for i in np.flatnonzero(different)}
         return pa.table([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    posted = materialize(sets.select("mark", "grams").mapInArrow(post, "rng int, a binary, b binary, c binary"), "prefix-postings")
+    posted = materialize(prefixes.mapInArrow(post, "rng int, a binary, b binary, c binary"), "prefix-postings")
     far = posted.where("rng >= 0").groupBy("rng").applyInArrow(join, "a binary, b binary")
     return posted.where("rng = -1").select("a", "b").unionAll(far).distinct()
 
@@ -313,23 +351,33 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     again = docs.withColumn("__id", F.coalesce("doc_id", F.lit(LAST_ID))).join(holders, "__id", "left_semi")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        key = TaskContext.get().partitionId() << 32
         for batch in batches:
             for _, raw in texts(batch):
                 sets = [s for s in gram_sets(raw) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_mark(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["mark", "grams"])
+                columns = [pa.array([_mark(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([key] * len(sets), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["mark", "size", "grams", "slice"])
+                key += 1
 
-    sets = again.select("text").mapInArrow(build, "mark binary, grams binary")
+    sets = again.select("text").mapInArrow(build, "mark binary, size int, grams binary, slice bigint")
     sets = materialize(sets.join(chosen.select("mark"), "mark", "left_semi").dropDuplicates(["mark"]), "candidate-sets")
-    family = materialize(connected_components(_families(sets, ranges)), "families").withColumnRenamed("node", "mark").withColumnRenamed("component", "family")
-    count = family.groupBy("family").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    spot = F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int")
-    placed = family.join(count, "family").withColumn("block", spot)
-    placed = materialize(placed.select("mark", "family", "blocks", "block"), "blocks")
-    large = placed.where("blocks > 1")
-    pivots = large.groupBy("family", "block").agg(F.min("mark").alias("mark"), F.first("blocks").alias("blocks")).where(F.col("block") < PIVOTS)
-    others = pivots.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block").select("mark", "family", F.col("to").alias("block"))
-    work = placed.select("mark", "family", "block").unionAll(others)
-    links = work.join(sets, "mark").groupBy("family", "block").applyInArrow(_traverse, "a binary, b binary")
+    family = connected_components(_families(_prefixes(sets, ranges), ranges))
+    family = materialize(family.withColumnRenamed("node", "mark").withColumnRenamed("component", "family").join(sets.select("mark", "size"), "mark"), "families")
+    whole = family.groupBy("family").agg(F.count(F.lit(1)).alias("of_family"))
+    # Linked sets' sizes differ by a factor of DEN/NUM at most: by one class.
+    grade = F.when(F.col("of_family") <= BLOCK, 0).otherwise(F.floor(F.ln("size") / math.log(DEN / NUM))).cast("int")
+    graded = family.join(whole, "family").withColumn("grade", grade)
+    count = graded.groupBy("family", "grade").agg(F.count(F.lit(1)).alias("n")).withColumn("spots", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = graded.join(count, ["family", "grade"]).withColumn("spot", F.pmod(F.xxhash64("mark"), F.col("spots")).cast("int"))
+    placed = materialize(placed.select("mark", "family", "grade", "spot", "spots", (F.col("of_family") > BLOCK).alias("large")), "blocks")
+    large = placed.where("large")
+    pivots = large.groupBy("family", "grade", "spot").agg(F.min("mark").alias("mark"), F.first("spots").alias("spots")).where(F.col("spot") < PIVOTS)
+    # Every block also gets the pivots of its size class's other blocks.
+    others = pivots.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("spots") - 1))).where("to <> spot").select("mark", "family", "grade", F.col("to").alias("spot"))
+    work = placed.select("mark", "family", "grade", "spot").unionAll(others)
+    links = work.join(sets.select("mark", "grams"), "mark").groupBy("family", "grade", "spot").applyInArrow(_traverse, "a binary, b binary")
     links = materialize(links, "links")
     found = connected_components(links)
     if not large.isEmpty():
@@ -347,10 +395,11 @@ def _crossing(large: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between blocks of one family, for the pairs of blocks whose sets are not
     all in one component yet."""
     labelled = materialize(large.join(found.withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("component", "mark")).drop("component"), "labelled")
-    per = labelled.groupBy("family", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    per = labelled.groupBy("family", "grade", "spot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     i, j = per.alias("i"), per.alias("j")
     settled = F.expr("i.lo = i.hi and j.lo = j.hi and i.lo = j.lo")
-    pairs = i.join(j, F.expr("i.family = j.family and i.block < j.block") & ~settled).select("i.family", F.col("i.block").alias("x"), F.col("j.block").alias("y"))
-    sides = pairs.withColumn("block", F.explode(F.array("x", "y")))
-    work = sides.join(labelled, ["family", "block"]).select("family", "x", "y", F.col("block").alias("side"), "label", "mark").join(sets, "mark")
+    later = F.expr("i.family = j.family and ((i.grade = j.grade and i.spot < j.spot) or i.grade + 1 = j.grade)")
+    pairs = i.join(j, later & ~settled).select("i.family", F.struct("i.grade", "i.spot").alias("x"), F.struct("j.grade", "j.spot").alias("y"))
+    sides = pairs.withColumn("at", F.explode(F.array("x", "y"))).select("family", "x", "y", "at.grade", "at.spot")
+    work = sides.join(labelled, ["family", "grade", "spot"]).select("family", "x", "y", F.concat_ws(":", "grade", "spot").alias("side"), "label", "mark").join(sets.select("mark", "grams"), "mark")
     return materialize(work.groupBy("family", "x", "y").applyInArrow(_traverse, "a binary, b binary"), "links")
