@@ -17,8 +17,10 @@ once each; an empty table gives no pieces; ties go to the earlier piece by
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,35 +36,107 @@ END = 1
 CACHE_WORDS = 400_000
 
 
+#: Bytes of UTF-8 texts whose characters all lie below U+0300: such texts hold no
+#: combining mark, so composing leaves them as they are and words can be lower-cased alone.
+_PLAIN = bytes(range(0xCC))
+_PRINTABLE = r"[!-~\u00A1-\u02FF]+"
+
+
 class WordTokenizer:
     """Token ids of whole texts from a per-process cache of white-space pieces.
 
     The tokenizer drops white space before splitting, so ids of a text are the ids
-    of its pieces in order.  The cache is emptied when it reaches ``CACHE_WORDS``.
+    of its pieces in order.  Words below U+0300 are lower-cased, split by the
+    tokenizer file's own pattern and merged by its model without building offsets;
+    other words, and texts that may hold a special token, take the whole tokenizer.
+    The cache is emptied when it reaches ``CACHE_WORDS``.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
+        # One thread a process: Spark's tasks already fill the cores.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, values: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
-        split = [v.replace("\n", " ").split(" ") for v in values]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list({w for words in split for w in words if w not in cache})
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return [b"".join([cache[w] for w in words]) for words in split]
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        self.simple = self._is_simple(described)
+        self.specials = [t["content"].encode() for t in described["added_tokens"]]
+        steps = described["pre_tokenizer"]["pretokenizers"] if self.simple else [{"pattern": {"Regex": "x"}}]
+        self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.printable = regex.compile(_PRINTABLE).fullmatch
+        self.bytes_as_characters = self._byte_table()
+        self.words = _Cache(self._word)
+        self.others = _Cache(self._whole)
+
+    @staticmethod
+    def _is_simple(described: dict) -> bool:
+        """Whether the file describes the steps that the short way takes."""
+        normal = [n["type"] for n in (described["normalizer"] or {}).get("normalizers", [])]
+        steps = [(p["type"], p.get("invert"), p.get("behavior"), p.get("add_prefix_space")) for p in (described["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        return normal == ["NFC", "Replace", "Lowercase"] and steps == [("Split", True, "Removed", None), ("ByteLevel", None, None, False)] and described["model"]["type"] == "BPE"
+
+    @staticmethod
+    def _byte_table() -> dict[int, str]:
+        """Characters below U+0300 as byte-level symbols: printable bytes stand for
+        themselves, the others for the characters from U+0100 on, in order."""
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in shown]
+        symbol = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        return {c: "".join(symbol[b] for b in chr(c).encode()) for c in range(0x80, 0x300)}
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word without upper-case ASCII letters, all below U+0300."""
+        if word.isascii():
+            ascii_word = True
+        else:
+            word, ascii_word = word.lower(), False
+        if word.isalpha():
+            parts = [word]
+        elif not word:
+            return b""
+        elif self.printable(word):
+            parts = self.split(word)
+        else:
+            return self._whole(word)
+        ids = [t.id for part in parts for t in self.model.tokenize(part if ascii_word else part.translate(self.bytes_as_characters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, values: list[bytes]) -> list[bytes]:
+        """Per UTF-8 text its ids as little-endian unsigned 32-bit integers."""
+        out = []
+        for value in values:
+            plain = self.simple and not value.translate(None, _PLAIN) and not any(s in value for s in self.specials) and not any(s in value.lower() for s in self.specials)
+            cache = self.words if plain else self.others
+            text = (value.lower() if plain else value).decode("utf-8", "surrogatepass")
+            out.append(b"".join([cache[w] for w in text.replace("\n", " ").split(" ")]))
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+        return out
+
+
+class _Cache(dict):
+    """A dictionary that finds missing values by a function."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.find(word)
+        return found
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def tokenize(values: list[str], path: str) -> list[bytes]:
+def tokenize(values: list[bytes], path: str) -> list[bytes]:
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path].encode(values)
@@ -78,7 +152,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKEN
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in texts(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("grp")], ["doc_id", "text", "grp"])):
-                ids_of = [x + last for x in tokenize([b.decode("utf-8", "surrogatepass") for b in raw], tokenizer)]
+                ids_of = [x + last for x in tokenize(raw, tokenizer)]
                 rows = [(d, a, g, ids) for d, g, ids in zip(part.column("doc_id").to_pylist(), part.column("grp").to_pylist(), ids_of, strict=True) for a in range(0, len(ids) // 4, max_tokens)]
                 pieces = [ids[4 * a : 4 * (a + max_tokens)] for _, a, _, ids in rows]
                 out = [
