@@ -10,8 +10,8 @@ Reading rebuilds the image from the ordered list, checks every chunk digest and
 whole image's digest, decodes the samples and computes the features from them.
 
 Only digests are shuffled for deduplication and only shared chunks' bytes for
-reading.  The list of rows that share chunks is broadcast behind a count; a larger
-one is joined by a shuffle.
+reading.  The list of rows that share chunks is broadcast up to ``BROADCAST_BYTES``
+measured bytes; a larger one is joined by a shuffle.
 
 Defined cases: null or empty text is a payload of 192 spaces; equal texts give equal
 values; repeated rows get a container each; ties of ownership go to the smaller
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import broadcast_if_small, materialize, texts
+from docmill.llm.common import broadcast_within, materialize, texts
 
 WIDTH = 192
 LEAST, MOST = 256, 16384
@@ -141,8 +141,9 @@ def media_containers(docs: DataFrame) -> DataFrame:
 
     # The texts' own digests are joined where they are; the medium's digest is not
     # known before the Python pass, so rows are matched by doc_id there.
+    held_bytes = shared.agg(F.sum(100 + 32 * (F.size("foreign") + F.size("lent")).cast("bigint"))).first()[0]
     by_id = shared.groupBy("__id").agg(F.collect_list(F.struct(F.col("__medium").alias("medium"), "foreign", "lent")).alias("of"))
-    joined = given.withColumn("__id", F.coalesce("doc_id", F.lit(-(2**63)))).join(broadcast_if_small(by_id, 50_000), "__id", "left").select("doc_id", "text", "of")
+    joined = given.withColumn("__id", F.coalesce("doc_id", F.lit(-(2**63)))).join(broadcast_within(by_id, held_bytes), "__id", "left").select("doc_id", "text", "of")
     schema = "doc_id bigint, medium binary, n_bytes bigint, chunk_list array<binary>, lengths array<int>, own array<boolean>, lent array<binary>, n_foreign int, data binary"
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

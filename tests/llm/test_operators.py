@@ -102,6 +102,30 @@ def test_packing(docs, empty):
     assert pack_documents(empty, tokenizer_path()).count() == 0
 
 
+def test_word_tokenizer_equals_the_whole_tokenizer():
+    from tokenizers import Tokenizer
+
+    from docmill.llm.packing import tokenize
+    from docmill.llm.queries import tokenizer_path
+
+    texts = [t or "" for t in TEXTS.values()] + [
+        "Ǆ Ñandú J̌ x̌ ß İstanbul ΑΣ'S don't WE'LL 12½² a\x85b\xa0c\td\x1ce", "<|ENDOFTEXT|>x <|endoftext|>", "It's 'S'D ''ll \xad·ª", "a\x00b\x7f", "ĲÆŒ ŉ ŁÓDŹ ÝØ ſ K'S", "日本 語 \u2003x",
+    ]
+    whole = Tokenizer.from_file(tokenizer_path())
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert tokenize([t.encode() for t in texts], tokenizer_path()) == want
+
+
+def test_media_lists_over_the_broadcast_bound(docs, monkeypatch):
+    from docmill.llm import media_chunks
+
+    rows = lambda: sorted(map(str, media_chunks.read_media(media_chunks.media_containers(docs)).collect()))
+    want = rows()
+    shuffled = []
+    monkeypatch.setattr(media_chunks, "broadcast_within", lambda df, size: shuffled.append(size) or df)
+    assert rows() == want and shuffled[0] > 0
+
+
 def test_pii(docs, empty, spark):
     from docmill.llm.pii_bootstrap import bootstrap, detect_pii, digests
 
