@@ -13,6 +13,9 @@ from docmill.functions.accumulators import ACCUMULATORS
 from docmill.functions.expr import FUNCTIONS
 from docmill.storage import on_workers
 
+#: Values of a key that map-reduce holds before it folds them.
+FOLD = 10_000
+
 
 def register_function(name: str, function: Callable, returns: T.DataType) -> None:
     """A Python function of plain values for ``$function``, run on Arrow batches."""
@@ -56,9 +59,25 @@ def map_reduce(df: DataFrame, mapper: Callable[[dict], Iterable[tuple]], reducer
                     groups.setdefault(k, []).append(v)
             yield pd.DataFrame([(k, vs[0] if len(vs) == 1 else reducer(k, vs)) for k, vs in groups.items()], columns=[key, value])
 
-    def reduced(group: pd.DataFrame) -> pd.DataFrame:
-        k, values = group[key].iloc[0], group[value].tolist()
-        out = values[0] if len(values) == 1 else reducer(k, values)
-        return pd.DataFrame([(k, finalize(k, out) if finalize else out)], columns=[key, value])
+    def one(k, values: list):
+        return values[0] if len(values) == 1 else reducer(k, values)
 
-    return df.mapInPandas(mapped, fields).groupBy(key).applyInPandas(reduced, fields)
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, values = None, []
+        close = lambda: (last, finalize(last, one(last, values)) if finalize else one(last, values))
+        for batch in batches:
+            out = []
+            for k, v in zip(batch[key].tolist(), batch[value].tolist(), strict=True):
+                if values and not (k == last or (pd.isna(k) and pd.isna(last))):
+                    out.append(close())
+                    values = []
+                elif len(values) >= FOLD:
+                    values = [one(last, values)]
+                last = k
+                values.append(v)
+            yield pd.DataFrame(out, columns=[key, value])
+        if values:
+            yield pd.DataFrame([close()], columns=[key, value])
+
+    # Keys arrive sorted, so one pass folds runs of equal keys, many to a batch.
+    return df.mapInPandas(mapped, fields).repartition(F.col(f"`{key}`")).sortWithinPartitions(F.col(f"`{key}`")).mapInPandas(reduced, fields)
