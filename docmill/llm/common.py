@@ -19,8 +19,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST_ID = 2**63 - 1
 #: Tables of at most so many short rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
-#: Tables whose rows can be long are broadcast up to so many measured bytes.
-BROADCAST_BYTES = 64 * 2**20
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -64,11 +62,6 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def broadcast_within(df: DataFrame, size: int | None, most: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when ``size``, the measured bytes of ``df``, is at most ``most``."""
-    return F.broadcast(df) if (size or 0) <= most else df
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only.  Pure ASCII takes the fast built-in path."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -2,20 +2,22 @@
 
 A payload becomes an 8-bit grey image of width 192 (binary PGM).  A rolling gear
 hash over the image's bytes sets chunk borders by content, so that equal passages
-give equal chunks wherever they stand.  Chunk digests are deduplicated by Spark
-joins: of all holders of a digest the smallest (payload digest, row) owns it.  A
-container row keeps a medium's ordered chunk list and the bytes of the chunks it
-owns; chunks owned elsewhere are fetched from their owner's container on reading.
-Reading rebuilds the image from the ordered list, checks every chunk digest and the
-whole image's digest, decodes the samples and computes the features from them.
-
-Only digests are shuffled for deduplication and only shared chunks' bytes for
-reading.  The list of rows that share chunks is broadcast up to ``BROADCAST_BYTES``
-measured bytes; a larger one is joined by a shuffle.
+give equal chunks wherever they stand.  Equal media are stored once, by the least
+(doc_id, text hash) that has them; chunk digests of different media are deduplicated
+by Spark joins: of all holders of a digest the smallest medium owns it.  A stored
+medium keeps its ordered chunk list and the bytes of the chunks it owns; chunks owned
+elsewhere are fetched from their owner on reading.  Reading rebuilds each image from
+its ordered list, checks every chunk digest and the whole image's digest, decodes the
+samples and computes the features from them; all rows of a medium share the result.
+
+Only digests are shuffled for deduplication, each text once and compressed for
+storing, and only foreign chunks' bytes for reading.  Media with more than a 1024th
+of all rows (so at most 1024 of them) are joined back by broadcast; every other table
+is shuffled, at any size.
 
 Defined cases: null or empty text is a payload of 192 spaces; equal texts give equal
-values; repeated rows get a container each; ties of ownership go to the smaller
-doc_id (null first); an empty table gives no rows; no chunk is dropped or capped.
+values; repeated rows give a row each; a null doc_id is the least; an empty table
+gives no rows; no chunk is dropped or capped.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import broadcast_within, materialize, texts
+from docmill.llm.common import materialize, row_count, texts
 
 WIDTH = 192
 LEAST, MOST = 256, 16384
@@ -112,66 +114,87 @@ def _chunks(medium: bytes) -> tuple[list[bytes], list[int]]:
     return [hashlib.blake2b(view[a:b], digest_size=DIGEST).digest() for a, b in zip(starts, ends, strict=True)], ends
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[bytes]]]:
-    for batch in batches:
-        for part, raw in texts(batch):
-            yield part, [encode(payload_of(t)) for t in raw], raw
+NO_ID = -(2**63)
+HOT_SHARE = 1024
+STORED = "medium binary, copies bigint, chunk_list array<binary>, lengths array<int>, own array<boolean>, foreign array<binary>, lent array<binary>, data binary"
+_BYTES = pa.list_(pa.binary())
+_STORED = (pa.binary(), pa.int64(), _BYTES, pa.list_(pa.int32()), pa.list_(pa.bool_()), _BYTES, _BYTES, pa.binary())
+
+
+def _emitted(rows: Iterator[tuple[int, tuple]], schema: str, types: tuple, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``most`` bytes from (size, row) pairs."""
+    names, held, size = [c.split()[0] for c in schema.split(", ")], [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+    for n, row in rows:
+        held.append(row)
+        size += n
+        if size >= most:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 def media_containers(docs: DataFrame) -> DataFrame:
-    """One container per row: ``doc_id, medium`` (digest), ``n_bytes, chunk_list``
-    (ordered digests), ``lengths, own`` (per chunk whether its bytes are here),
-    ``shared`` (whether others need it) and ``data`` (the owned bytes, compressed)."""
-    digests_schema = "doc_id bigint, medium binary, chunks array<binary>"
+    """Two kinds of rows: for every document ``doc_id, medium`` (digest), ``n_bytes``;
+    and for every distinct medium, with ``stored``, also ``copies`` (its documents),
+    ``chunk_list`` (ordered digests), ``lengths, own`` (per chunk whether its bytes are
+    here), ``foreign`` (chunks to fetch), ``lent`` (chunks that others need) and
+    ``data`` (the owned bytes, compressed)."""
+    given = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("hash"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, media, _ in _rows(batches):
-            rows = [_chunks(m)[0] for m in media]
-            whole = [hashlib.sha256(m).digest() for m in media]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(whole, pa.binary()), pa.array(rows, pa.list_(pa.binary()))], ["doc_id", "medium", "chunks"])
-
-    given = docs.select("doc_id", "text")
-    lists = materialize(given.mapInArrow(digest, digests_schema), "chunk-digests")
-    holder = F.struct(F.col("medium"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
-    held = lists.select(holder.alias("holder"), F.explode(F.array_distinct("chunks")).alias("digest"))
-    owners = held.groupBy("digest").agg(F.min("holder").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    mine = F.col("holder").eqNullSafe(F.col("owner"))
-    shared = held.join(owners, "digest").groupBy("holder").agg(F.collect_list(F.when(~mine, F.col("digest"))).alias("foreign"), F.collect_list(F.when(mine, F.col("digest"))).alias("lent"))
-    shared = materialize(shared.select(F.col("holder.medium").alias("__medium"), F.col("holder.id").alias("__id"), "foreign", "lent"), "chunk-owners")
-
-    # The texts' own digests are joined where they are; the medium's digest is not
-    # known before the Python pass, so rows are matched by doc_id there.
-    held_bytes = shared.agg(F.sum(100 + 32 * (F.size("foreign") + F.size("lent")).cast("bigint"))).first()[0]
-    by_id = shared.groupBy("__id").agg(F.collect_list(F.struct(F.col("__medium").alias("medium"), "foreign", "lent")).alias("of"))
-    joined = given.withColumn("__id", F.coalesce("doc_id", F.lit(-(2**63)))).join(broadcast_within(by_id, held_bytes), "__id", "left").select("doc_id", "text", "of")
-    schema = "doc_id bigint, medium binary, n_bytes bigint, chunk_list array<binary>, lengths array<int>, own array<boolean>, lent array<binary>, n_foreign int, data binary"
-
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw in texts(batch):
+                media = [encode(payload_of(t)) for t in raw]
+                found = [pa.array([hashlib.sha256(m).digest() for m in media], pa.binary()), pa.array([len(t) for t in raw], pa.int64()), pa.array([_chunks(m)[0] for m in media], _BYTES)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id"), part.column("hash"), *found], ["doc_id", "id", "hash", "medium", "n_bytes", "chunks"])
+
+    lists = materialize(given.mapInArrow(digest, "doc_id bigint, id bigint, hash bigint, medium binary, n_bytes bigint, chunks array<binary>"), "chunk-digests")
+    first = F.min(F.struct("id", "hash", "chunks")).alias("first")
+    distinct = materialize(lists.groupBy("medium").agg(first, F.count(F.lit(1)).alias("copies")), "chunk-media")
+    held = distinct.select("medium", F.explode(F.array_distinct("first.chunks")).alias("digest"))
+    owners = held.groupBy("digest").agg(F.min("medium").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    mine = F.col("medium") == F.col("owner")
+    shared = held.join(owners, "digest").groupBy("medium").agg(F.collect_list(F.when(~mine, F.col("digest"))).alias("foreign"), F.collect_list(F.when(mine, F.col("digest"))).alias("lent"))
+    none = F.array().cast("array<binary>")
+    keepers = distinct.join(shared, "medium", "left").select("first.id", "first.hash", "medium", "copies", F.coalesce("foreign", none).alias("foreign"), F.coalesce("lent", none).alias("lent"))
+    keepers = materialize(keepers, "chunk-owners")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3)
-        for part, media, raw in _rows(batches):
-            out: list[list] = [[] for _ in range(8)]
-            for medium, text, of in zip(media, raw, part.column("of").to_pylist(), strict=True):
-                whole = hashlib.sha256(medium).digest()
-                mine = next((x for x in of or () if x["medium"] == whole), None)
-                foreign, lent = (set(mine["foreign"]), mine["lent"]) if mine else (set(), [])
+        for batch in batches:
+            for part, raw in texts(batch):
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("hash"), pa.array([pack.compress(t) for t in raw], pa.binary())], ["id", "hash", "text"])
+
+    # The medium's digest is not known before the Python pass, so texts meet their
+    # lists by doc_id and text hash; other media of that key are told apart below.
+    joined = given.mapInArrow(squeeze, "id bigint, hash bigint, text binary").join(keepers.hint("shuffle_hash"), ["id", "hash"]).drop("id", "hash")
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+        import zstandard
+
+        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                medium = encode(payload_of(unpack.decompress(x["text"]) if x["text"] else b""))
+                if hashlib.sha256(medium).digest() != x["medium"]:
+                    continue
                 chunks, ends = _chunks(medium)
                 starts = [0, *ends[:-1]]
-                before: set[bytes] = set()
-                own = []
+                known, own = set(x["foreign"]), []
                 for c in chunks:  # a chunk that the medium repeats is kept once
-                    own.append(c not in foreign and c not in before)
-                    before.add(c)
-                data = b"".join(medium[a:b] for a, b, o in zip(starts, ends, own, strict=True) if o)
-                row = (whole, len(text), chunks, [b - a for a, b in zip(starts, ends, strict=True)], own, lent, len(foreign), pack.compress(data))
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            types = [pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.binary()), pa.int32(), pa.binary()]
-            names = ["medium", "n_bytes", "chunk_list", "lengths", "own", "lent", "n_foreign", "data"]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], ["doc_id", *names])
+                    own.append(c not in known)
+                    known.add(c)
+                data = pack.compress(b"".join(medium[a:b] for a, b, o in zip(starts, ends, own, strict=True) if o))
+                yield len(data), (x["medium"], x["copies"], chunks, [b - a for a, b in zip(starts, ends, strict=True)], own, x["foreign"], x["lent"], data)
 
-    return materialize(joined.mapInArrow(store, schema), "media-containers")
+    kept = materialize(joined.mapInArrow(lambda batches: _emitted(stored(batches), STORED, _STORED), STORED), "media-containers")
+    documents = lists.select("doc_id", "medium", "n_bytes", F.lit(False).alias("stored"))
+    return documents.unionByName(kept.withColumn("stored", F.lit(True)), allowMissingColumns=True)
 
 
 def _owned(row_list, lengths, own, data) -> dict[bytes, bytes]:
@@ -185,11 +208,14 @@ def _owned(row_list, lengths, own, data) -> dict[bytes, bytes]:
     return out
 
 
-READ = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+VALUES = "medium binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+_VALUES = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
 
 
 def read_media(containers: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Rebuild every medium from its chunk list, verify and decode it."""
+    """Rebuild every medium from its chunk list, verify and decode it; one row per
+    document with the values of its medium."""
+    documents, stored = containers.where("not stored").select("doc_id", "medium", "n_bytes"), containers.where("stored")
 
     def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,31 +225,36 @@ def read_media(containers: DataFrame, with_payload: bool = False) -> DataFrame:
                 rows.update((c, owned[c]) for c in x["lent"])
             yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.binary())], ["digest", "bytes"])
 
-    # Repeated rows own the same chunks; one copy is lent.
-    lent = containers.where(F.size("lent") > 0).select("chunk_list", "lengths", "own", "lent", "data").mapInArrow(lend, "digest binary, bytes binary").dropDuplicates(["digest"])
-    borrowed = containers.where("n_foreign > 0").select("doc_id", "medium", F.explode(F.array_distinct("chunk_list")).alias("digest")).distinct().join(lent, "digest")
-    borrowed = borrowed.groupBy("doc_id", "medium").agg(F.collect_list(F.struct("digest", "bytes")).alias("borrowed"))
-    columns = ["doc_id", "medium", "n_bytes", "chunk_list", "lengths", "own", "data"]
+    # Repeated rows may store the same chunks; one copy is lent.
+    lent = stored.where(F.size("lent") > 0).select("chunk_list", "lengths", "own", "lent", "data").mapInArrow(lend, "digest binary, bytes binary").dropDuplicates(["digest"])
+    borrowed = stored.where(F.size("foreign") > 0).select("medium", F.explode("foreign").alias("digest")).distinct().join(lent, "digest")
+    borrowed = borrowed.groupBy("medium").agg(F.collect_list(F.struct("digest", "bytes")).alias("borrowed"))
+    columns = ["medium", "chunk_list", "lengths", "own", "data"]
+    schema = VALUES + (", payload binary" if with_payload else "")
+    types = _VALUES if with_payload else _VALUES[:-1]
 
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8 + with_payload)]
-            for x in batch.to_pylist():
+            for k in range(batch.num_rows):
+                x = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 known = _owned(x["chunk_list"], x["lengths"], x["own"], x["data"])
                 known |= {b["digest"]: b["bytes"] for b in x.get("borrowed") or ()}
                 medium = b"".join(known[c] for c in x["chunk_list"])
-                if any(hashlib.blake2b(known[c], digest_size=DIGEST).digest() != c for c in x["chunk_list"]) or hashlib.sha256(medium).digest() != x["medium"]:
-                    raise ValueError(f"the medium of {x['doc_id']} does not match its digest")
+                if any(hashlib.blake2b(known[c], digest_size=DIGEST).digest() != c for c in set(x["chunk_list"])) or hashlib.sha256(medium).digest() != x["medium"]:
+                    raise ValueError(f"the medium {x['medium'].hex()} does not match its digest")
                 payload = decode(medium)
-                row = (x["doc_id"], x["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(medium), x["medium"].hex(), features(payload), payload)[: len(out)]
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            names = [f.split()[0] for f in READ.split(", ")] + ["payload"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=False)], names[: len(out)])
-
-    schema = READ + (", payload binary" if with_payload else "")
-    alone = containers.where("n_foreign = 0").select(columns).mapInArrow(rebuild, schema)
-    c = containers.where("n_foreign > 0").select(columns).alias("c")
-    joined = c.join(borrowed.alias("b"), F.expr("c.doc_id <=> b.doc_id and c.medium = b.medium")).select("c.*", "b.borrowed")
-    return alone.unionAll(joined.mapInArrow(rebuild, schema))
+                row = (x["medium"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(medium), x["medium"].hex(), features(payload), payload)
+                yield len(payload) * with_payload + 300, row[: len(types)]
+
+    def rebuild(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(lambda batches: _emitted(rebuilt(batches), schema, types), schema)
+
+    alone = rebuild(stored.where(F.size("foreign") == 0).select(columns))
+    joined = rebuild(stored.where(F.size("foreign") > 0).select(columns).join(borrowed, "medium"))
+    values = materialize(alone.unionAll(joined).dropDuplicates(["medium"]), "media-values")
+    often = max(HOT_SHARE, row_count(documents) // HOT_SHARE)
+    hot = F.broadcast(stored.where(F.col("copies") > often).select("medium").distinct())  # at most HOT_SHARE rows
+    rare = documents.join(hot, "medium", "left_anti").join(values, "medium")
+    common = documents.join(hot, "medium", "left_semi").join(F.broadcast(values.join(hot, "medium", "left_semi")), "medium")
+    names = [c.split()[0] for c in schema.split(", ")][1:]
+    return rare.unionByName(common).select("doc_id", "n_bytes", *names)

@@ -116,14 +116,23 @@ def test_word_tokenizer_equals_the_whole_tokenizer():
     assert tokenize([t.encode() for t in texts], tokenizer_path()) == want
 
 
-def test_media_lists_over_the_broadcast_bound(docs, monkeypatch):
+def test_media_of_copies_and_shared_passages(spark, monkeypatch):
     from docmill.llm import media_chunks
 
-    rows = lambda: sorted(map(str, media_chunks.read_media(media_chunks.media_containers(docs)).collect()))
-    want = rows()
-    shuffled = []
-    monkeypatch.setattr(media_chunks, "broadcast_within", lambda df, size: shuffled.append(size) or df)
-    assert rows() == want and shuffled[0] > 0
+    monkeypatch.setattr(media_chunks, "HOT_SHARE", 8)
+    passage = "".join(f"word{i * 7919 % 1000} " for i in range(3000))
+    given = [(i, "the same text") for i in range(40)] + [(100 + i, f"head {i} " + passage + f" tail {i}") for i in range(12)]
+    given += [(None, passage), (None, passage), (None, None), (200, "a"), (200, "a "), (200, "a "), (201, passage * 3)]
+    containers = media_chunks.media_containers(spark.createDataFrame(given, "doc_id long, text string"))
+    got = media_chunks.read_media(containers, with_payload=True).collect()
+    payload = lambda t: (t or "").encode() + b" " * (-len(t or "") % 192 if t else 192)
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(((r["doc_id"], r["n_bytes"], bytes(r["payload"])) for r in got), key=order) == sorted(((d, len(t or ""), payload(t)) for d, t in given), key=order)
+    stored = containers.where("stored").collect()
+    assert len({bytes(r["medium"]) for r in stored}) == len({payload(t) for _, t in given})
+    # The shared passage's chunks are kept once.
+    kept = {bytes(r["medium"]): sum(n for n, own in zip(r["lengths"], r["own"], strict=True) if own) for r in stored}
+    assert sum(kept.values()) < 3 * len(passage)
 
 
 def test_pii(docs, empty, spark):
