@@ -38,6 +38,8 @@ LEAST, MOST = 256, 16384
 MASK = np.uint32(0xFFC00000)  # ten bits: a border every 1024 bytes beyond LEAST on average
 SPACE = b" "
 DIGEST = 16
+#: The level pays: texts and containers are most of what goes to disk.
+LEVEL = 9
 
 
 def gear_table() -> np.ndarray:
@@ -107,6 +109,11 @@ def features(payload: bytes) -> str:
     return f"mean={x.mean():.4f};std={x.std():.4f};entropy={float(-(p * np.log2(p)).sum()) + 0.0:.4f};ahash={bits:04x}"
 
 
+def digest_of(medium: bytes) -> bytes:
+    """The 128 bits that name a medium in tables."""
+    return hashlib.sha256(medium).digest()[:DIGEST]
+
+
 def _chunks(medium: bytes) -> tuple[list[bytes], list[int]]:
     ends = cut(medium)
     starts = [0, *ends[:-1]]
@@ -147,7 +154,7 @@ def media_containers(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part, raw in texts(batch):
                 media = [encode(payload_of(t)) for t in raw]
-                found = [pa.array([hashlib.sha256(m).digest() for m in media], pa.binary()), pa.array([len(t) for t in raw], pa.int64()), pa.array([_chunks(m)[0] for m in media], _BYTES)]
+                found = [pa.array([digest_of(m) for m in media], pa.binary()), pa.array([len(t) for t in raw], pa.int64()), pa.array([_chunks(m)[0] for m in media], _BYTES)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id"), part.column("hash"), *found], ["doc_id", "id", "hash", "medium", "n_bytes", "chunks"])
 
     lists = materialize(given.mapInArrow(digest, "doc_id bigint, id bigint, hash bigint, medium binary, n_bytes bigint, chunks array<binary>"), "chunk-digests")
@@ -159,12 +166,11 @@ def media_containers(docs: DataFrame) -> DataFrame:
     shared = held.join(owners, "digest").groupBy("medium").agg(F.collect_list(F.when(~mine, F.col("digest"))).alias("foreign"), F.collect_list(F.when(mine, F.col("digest"))).alias("lent"))
     none = F.array().cast("array<binary>")
     keepers = distinct.join(shared, "medium", "left").select("first.id", "first.hash", "medium", "copies", F.coalesce("foreign", none).alias("foreign"), F.coalesce("lent", none).alias("lent"))
-    keepers = materialize(keepers, "chunk-owners")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             for part, raw in texts(batch):
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("hash"), pa.array([pack.compress(t) for t in raw], pa.binary())], ["id", "hash", "text"])
@@ -176,12 +182,12 @@ def media_containers(docs: DataFrame) -> DataFrame:
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
         import zstandard
 
-        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        pack, unpack = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(batch.num_rows):
                 x = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 medium = encode(payload_of(unpack.decompress(x["text"]) if x["text"] else b""))
-                if hashlib.sha256(medium).digest() != x["medium"]:
+                if digest_of(medium) != x["medium"]:
                     continue
                 chunks, ends = _chunks(medium)
                 starts = [0, *ends[:-1]]
@@ -208,8 +214,8 @@ def _owned(row_list, lengths, own, data) -> dict[bytes, bytes]:
     return out
 
 
-VALUES = "medium binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-_VALUES = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+VALUES = "medium binary, payload_bytes bigint, payload_sha256 binary, tail_crc32 bigint, media_bytes bigint, media_sha256 binary, feature string"
+_VALUES = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.binary())
 
 
 def read_media(containers: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -240,10 +246,10 @@ def read_media(containers: DataFrame, with_payload: bool = False) -> DataFrame:
                 known = _owned(x["chunk_list"], x["lengths"], x["own"], x["data"])
                 known |= {b["digest"]: b["bytes"] for b in x.get("borrowed") or ()}
                 medium = b"".join(known[c] for c in x["chunk_list"])
-                if any(hashlib.blake2b(known[c], digest_size=DIGEST).digest() != c for c in set(x["chunk_list"])) or hashlib.sha256(medium).digest() != x["medium"]:
+                if any(hashlib.blake2b(known[c], digest_size=DIGEST).digest() != c for c in set(x["chunk_list"])) or digest_of(medium) != x["medium"]:
                     raise ValueError(f"the medium {x['medium'].hex()} does not match its digest")
                 payload = decode(medium)
-                row = (x["medium"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(medium), x["medium"].hex(), features(payload), payload)
+                row = (x["medium"], len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-16:]), len(medium), hashlib.sha256(medium).digest(), features(payload), payload)
                 yield len(payload) * with_payload + 300, row[: len(types)]
 
     def rebuild(rows: DataFrame) -> DataFrame:
@@ -257,4 +263,5 @@ def read_media(containers: DataFrame, with_payload: bool = False) -> DataFrame:
     rare = documents.join(hot, "medium", "left_anti").join(values, "medium")
     common = documents.join(hot, "medium", "left_semi").join(F.broadcast(values.join(hot, "medium", "left_semi")), "medium")
     names = [c.split()[0] for c in schema.split(", ")][1:]
-    return rare.unionByName(common).select("doc_id", "n_bytes", *names)
+    found = rare.unionByName(common).select("doc_id", "n_bytes", *names)
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
