@@ -95,6 +95,33 @@ select doc_id, count(*) as n_lines, cast(count(*) filter (where dropped) as bigi
 from marked group by doc_id
 """
 
+#: The links of documents by shared shingles, and the least doc_id reachable by links.
+#: The words of a shingle have no spaces, so joining them by spaces is unambiguous.
+JACCARD_SQL = rf"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array({_LOW.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+grams as (
+  select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i : i + 4], ' ') end as gram
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0)),
+sizes as (
+  select doc_id, len(g) as n, min(doc_id) over (partition by g) as class_id
+  from (select doc_id, list(gram order by gram) as g from grams group by doc_id)),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common
+  from grams a join grams b on a.gram = b.gram and a.doc_id <> b.doc_id group by 1, 2),
+links as (
+  select p.a, p.b from pairs p join sizes x on p.a = x.doc_id join sizes y on p.b = y.doc_id
+  where 100 * p.common >= 75 * (x.n + y.n - p.common)),
+reach(doc_id, other) as (
+  select doc_id, doc_id from documents
+  union
+  select r.doc_id, l.b from reach r join links l on r.other = l.a)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, r.component_id, coalesce(s.class_id, d.doc_id) as class_id
+from documents d left join sizes s on d.doc_id = s.doc_id
+left join (select doc_id, min(other) as component_id from reach group by doc_id) r on d.doc_id = r.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP_SQL}
+    return {"op2_line_dedup": LINE_DEDUP_SQL, "op6_jaccard_trie": JACCARD_SQL}
