@@ -4,10 +4,13 @@ Base detectors find emails, IPv4 addresses, payment cards and phone numbers.  Th
 finds are the seeds.  Every seed, and every other token that carries a digit or an
 @, is an instance with lexical patterns around it: the two words before, the two
 words after, and the word on either side.  Spark scores the bipartite graph of
-patterns and instances in rounds: a pattern's confidence for a kind is the share of
-its distinct instances already believed to be of that kind; an instance's belief is
-the noisy-or of its confident patterns.  Instances that end above the threshold are
-unseen identifiers and their places are added to the base spans.
+patterns and instances in rounds, until a round finds nothing new: a pattern's
+confidence for a kind is that kind's share of what is believed of its instances, so
+unseen instances are no evidence against it; a pattern is used if its RlogF (the
+share of its instances that are of the kind, times the logarithm of their number)
+shows that it is not one of any text.  An instance's belief is the noisy-or of its
+confident patterns.  Instances above the threshold are unseen identifiers: they keep
+their kind, count as known from then on, and their places are added to the base spans.
 
 All of it is DataFrame expressions.  Texts without a digit or @ leave after one
 character-class search; the graph holds only distinct (pattern, instance) pairs and
@@ -40,8 +43,8 @@ PATTERNS = {
 _NON = r"[^\x20\x09-\x0D]"
 CANDIDATE = rf"(?<!{_NON})[^\x20\x09-\x0D0-9@]*+[0-9@]{_NON}*+"
 CONTEXT = 64  # code points looked at on either side
-ROUNDS = 2
 MIN_SEEDS = 3
+MIN_RLOGF = 1.0
 PATTERN_CONFIDENCE, BELIEF = 0.75, 0.8
 MIN_DIGITS = 4
 
@@ -115,9 +118,9 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "row", *[bare(k) for k in KINDS], instances.alias("instances"))
 
 
-def bootstrap(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(instances: DataFrame, rounds: int | None = None) -> DataFrame:
     """(value, kind) of the discovered identifiers, from rows of (value, kind or null,
-    patterns)."""
+    patterns); by default in as many rounds as find something new."""
     seeds = instances.where("kind is not null").select("value", "kind").distinct().withColumn("belief", F.lit(1.0))
     edges = materialize(instances.select("value", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
     size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SEEDS)
@@ -125,25 +128,31 @@ def bootstrap(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     # An identifier is worth discovering if it has the digits of one.
     digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
     open_ = edges.join(known, "value", "left_anti").where((digits >= MIN_DIGITS) | F.contains("value", F.lit("@")))
-    beliefs = seeds
-    for _ in range(rounds):
-        support = edges.join(beliefs, "value").groupBy("pattern", "kind").agg(F.sum("belief").alias("belief"), F.count(F.lit(1)).alias("seeds"))
-        confident = support.where(F.col("seeds") >= MIN_SEEDS).join(size, "pattern").withColumn("confidence", F.col("belief") / (F.col("n") + 0.5)).where(F.col("confidence") >= PATTERN_CONFIDENCE)
+    found, done = materialize(seeds.limit(0), "pii-found"), 0
+    while rounds is None or done < rounds:
+        support = edges.join(seeds.unionAll(found), "value").groupBy("pattern", "kind").agg(F.sum("belief").alias("belief"), F.count(F.lit(1)).alias("seeds"))
+        believed = support.groupBy("pattern").agg(F.sum("belief").alias("believed"))
+        rlogf = F.col("seeds") / F.col("n") * F.log2(F.col("seeds"))
+        confident = support.where(F.col("seeds") >= MIN_SEEDS).join(believed, "pattern").join(size, "pattern").where(rlogf >= MIN_RLOGF)
+        confident = confident.withColumn("confidence", F.col("belief") / (F.col("believed") + 0.5)).where(F.col("confidence") >= PATTERN_CONFIDENCE)
         confident = materialize(confident.select("pattern", "kind", "confidence"), "pii-patterns")
         doubt = F.exp(F.sum(F.log(1.0 - F.least("confidence", F.lit(0.999)))))
-        found = open_.join(broadcast_if_small(confident), "pattern").groupBy("value", "kind").agg((1.0 - doubt).alias("belief")).where(F.col("belief") >= BELIEF)
+        fresh = open_.join(broadcast_if_small(confident), "pattern").join(found.select("value"), "value", "left_anti")
+        fresh = fresh.groupBy("value", "kind").agg((1.0 - doubt).alias("belief")).where(F.col("belief") >= BELIEF)
         order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-        best = found.groupBy("value").agg(F.max(F.struct("belief", (-order).alias("o"), "kind")).alias("b")).select("value", "b.kind", "b.belief")
-        best = materialize(best, "pii-found")
-        beliefs = seeds.unionAll(best)
-    return best.select("value", "kind")
+        best = fresh.groupBy("value").agg(F.max(F.struct("belief", (-order).alias("o"), "kind")).alias("b")).select("value", "b.kind", "b.belief")
+        best = materialize(best, "pii-new")
+        if best.isEmpty():
+            break
+        found, done = materialize(found.unionAll(best), "pii-found"), done + 1
+    return found.select("value", "kind")
 
 
 def _join_spans(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 
 
-def detect_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def detect_pii(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """Per row ``doc_id``, base spans by kind, and ``added``: (kind, start, end) of
     the identifiers that the bootstrap discovered."""
     base = materialize(base_spans(docs), "pii-base")

@@ -151,6 +151,25 @@ def test_pii(docs, empty, spark):
     assert [(r["value"], r["kind"]) for r in found] in ([("77-1234", "phone")], [])
 
 
+def test_pii_discovers_beside_few_seeds_and_along_chains(spark):
+    from docmill.llm.pii_bootstrap import bootstrap
+
+    def found(rows):
+        return dict(bootstrap(spark.createDataFrame(rows, "value string, kind string, patterns array<string>")).collect())
+
+    seeds = [(f"90000000{i}", "phone", ["L call me"]) for i in range(6)]
+    one, two = ("77-1234", None, ["L call me", "R now please"]), ("88-1234", None, ["L call me"])
+    assert found([*seeds[:4], one, ("55-0000", None, ["L of the"])]) == {"77-1234": "phone"}
+    assert found([*seeds, one, two]) == {"77-1234": "phone", "88-1234": "phone"}
+    # Each step's finds are the next step's seeds: four steps beyond the first pattern.
+    chain = [(f"1{step}{i}-5678", None, [f"L p{step}", f"L p{step + 1}"]) for step in range(5) for i in range(4)]
+    assert set(found([(f"90000000{i}", "phone", ["L p0"]) for i in range(4)] + chain)) == {v for v, _, _ in chain}
+    # A pattern of two kinds, and one of any text, find nothing.
+    mixed = [(f"1.1.1.{i}", "ip", ["L call me"]) for i in range(6)]
+    anything = [(f"{i}-4444", None, ["L call me"]) for i in range(40)]
+    assert found([*seeds, *mixed, one]) == {} and found([*seeds, *anything]) == {}
+
+
 def test_jaccard(docs, empty, spark):
     from docmill.llm.jaccard_join import jaccard_components, trie_links
 
