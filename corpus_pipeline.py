@@ -29,7 +29,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group of near duplicates."""
-    found = jaccard_join.jaccard_components(docs)
+    found = jaccard_join.jaccard_components(docs, count_links=False)
     keep = found.where("component_id is null or doc_id = component_id").select("doc_id").distinct().alias("k")
     # Rows of one doc_id are one document; a null doc_id names none and stays.
     first = docs.alias("d").join(keep, F.expr("d.doc_id <=> k.doc_id"), "left_semi")

@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join by prefix trees, returned as connected components.
+"""N-gram Jaccard self-join by prefix trees: exact links and connected components.
 
 Documents are sets of word 5-gram hashes in one global order (the hash order).
 
@@ -14,11 +14,12 @@ Documents are sets of word 5-gram hashes in one global order (the hash order).
    than in pairs, form families.
 4. Each family's sets are stored in a prefix tree.  Every set traverses the tree
    once: overlaps are accumulated along shared paths, and a subtree is left when its
-   remaining lengths cannot reach the threshold or its sets already belong to the
-   same component.  Families over ``BLOCK`` sets are cut by size class and hash into
-   blocks that share pivot sets; pairs of blocks of equal or neighbouring size class
-   are traversed afterwards only as far as their components still differ, so no link
-   between different texts is lost.
+   remaining lengths cannot reach the threshold.  Families over ``BLOCK`` sets are cut
+   by size class and hash into blocks, and all pairs of blocks of equal or neighbouring
+   size class are traversed too, so every link between different sets is found once.
+5. Where only components are asked for, a subtree is also left when its sets already
+   belong to the same component; blocks then share pivot sets, and pairs of blocks are
+   traversed only as far as their components still differ.
 
 Defined cases: null or empty text has an empty set, links with nothing and is its own
 component; fewer than five words are one gram; repeated rows and ties fall into one
@@ -258,9 +259,10 @@ class _Sets:
         return i
 
 
-def trie_links(grams: list[np.ndarray], sides: list[int] | None = None, labels: list | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of a block; with ``sides`` only links between
-    different sides count, with ``labels`` equal labels are linked already.
+def trie_links(grams: list[np.ndarray], sides: list[int] | None = None, labels: list | None = None, every: bool = False) -> list[tuple]:
+    """Links that span the components of a block, or ``every`` link and whether it is
+    one of those that span; with ``sides`` only links between different sides count,
+    with ``labels`` equal labels are linked already.
 
     The tree is compressed: a node stands for the sets order[lo:hi], whose grams up
     to ``end`` are equal; its own grams are those from its parent's end on.
@@ -306,7 +308,7 @@ def trie_links(grams: list[np.ndarray], sides: list[int] | None = None, labels:
             lo, hi, own, end, shortest, longest, children = nodes[at]
             if hi <= q + 1 or DEN * longest < NUM * n or NUM * shortest > DEN * n:
                 continue
-            if hi - lo == 1 and (union.find(lo) == union.find(q) or (side and side[lo] == side[q])):
+            if hi - lo == 1 and ((side and side[lo] == side[q]) or (not every and union.find(lo) == union.find(q))):
                 continue
             left = n
             if len(own):
@@ -320,26 +322,67 @@ def trie_links(grams: list[np.ndarray], sides: list[int] | None = None, labels:
                 for y in range(max(lo, q + 1), hi):
                     if sizes[y] != end:
                         break
+                    if side and side[y] == side[q]:
+                        continue
                     a, b = union.find(y), union.find(q)
-                    if a != b and not (side and side[y] == side[q]):
+                    if every or a != b:
                         union.parent[max(a, b)] = min(a, b)
-                        out.append((order[q], order[y]))
+                        out.append((order[q], order[y], a != b) if every else (order[q], order[y]))
             stack.extend((c, overlap) for c in children)
     return out
 
 
-def _traverse(table: pa.Table) -> pa.Table:
-    marks = table.column("mark").to_pylist()
-    grams = [np.frombuffer(x, dtype=np.uint64) for x in table.column("grams").to_pylist()]
-    crossing = "side" in table.column_names
-    sides, labels = (table.column("side").to_pylist(), table.column("label").to_pylist()) if crossing else (None, None)
-    links = trie_links(grams, sides, labels) if marks else []
-    return pa.table([pa.array([marks[p[k]] for p in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+LINKS = "a binary, b binary, n bigint"
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` and ``class_id`` (least doc_id with an
-    equal set) per document."""
+def _traverse(table: pa.Table, mode: str) -> pa.Table:
+    """The links (a, b) of a block: those that ``span`` its components, all ``pairs``,
+    or spanning ones and, per set a without b, the ``counts`` n of all its links."""
+    marks = table.column("mark").to_pylist()
+    grams = [np.frombuffer(x, dtype=np.uint64) for x in table.column("grams").to_pylist()]
+    sides, labels = (table.column(c).to_pylist() if c in table.column_names else None for c in ("side", "label"))
+    links = trie_links(grams, sides, labels, mode != "span") if marks else []
+    rows = [(marks[p[0]], marks[p[1]], None) for p in links if mode != "counts" or p[2]]
+    if mode == "counts" and links:
+        ends = np.bincount(np.array([p[:2] for p in links]).reshape(-1), minlength=len(marks))
+        rows += [(marks[i], None, int(ends[i])) for i in np.flatnonzero(ends)]
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "n"])
+
+
+def _real(c: str):
+    return F.nullif(F.col(c), F.lit(LAST_ID))
+
+
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """``class_a, class_b``: every pair of different sets that are similar, once, each
+    named by its class (least doc_id with that set), the lesser first."""
+    _, classes, links, _ = _join(docs, "pairs")
+    name = lambda side: classes.select(F.col("mark").alias(side), F.col("class_id").alias(f"class_{side}"))
+    named = links.join(name("a"), "a").join(name("b"), "b")
+    both = named.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"))
+    return both.select(_real("class_a").alias("class_a"), _real("class_b").alias("class_b"))
+
+
+def jaccard_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
+    """``doc_id, n_shingles, component_id``, ``class_id`` (least doc_id with an equal
+    set) and ``n_links`` (different sets similar to it) per document.  Without
+    ``count_links`` there is no such column and only spanning links are sought."""
+    marks, classes, links, found = _join(docs, "counts" if count_links else "span")
+    joined = classes.join(found.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
+    least = joined.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = joined.join(least, "component").select("mark", "class_id", "component_id")
+    columns = ["doc_id", "n_shingles", *[F.nullif(F.coalesce(c, "doc_id"), F.lit(LAST_ID)).alias(c) for c in ("component_id", "class_id")]]
+    if count_links:
+        ends = links.where("b is null").groupBy(F.col("a").alias("mark")).agg(F.sum("n").alias("n_links"))
+        named = named.join(ends, "mark", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return marks.join(named, "mark", "left").select(*columns)
+
+
+def _join(docs: DataFrame, mode: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """The sets' marks per document, their classes, the links of ``_traverse`` and,
+    but for all pairs, the components (node, component).  Components are joined from
+    spanning links: all pairs of a group of near copies would be quadratic there."""
     docs = docs.select("doc_id", "text")
     marks = materialize(set_marks(docs), "set-marks")
     total = marks.agg(F.sum("n_shingles")).first()[0] or 0
@@ -373,33 +416,32 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     placed = graded.join(count, ["family", "grade"]).withColumn("spot", F.pmod(F.xxhash64("mark"), F.col("spots")).cast("int"))
     placed = materialize(placed.select("mark", "family", "grade", "spot", "spots", (F.col("of_family") > BLOCK).alias("large")), "blocks")
     large = placed.where("large")
-    pivots = large.groupBy("family", "grade", "spot").agg(F.min("mark").alias("mark"), F.first("spots").alias("spots")).where(F.col("spot") < PIVOTS)
-    # Every block also gets the pivots of its size class's other blocks.
-    others = pivots.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("spots") - 1))).where("to <> spot").select("mark", "family", "grade", F.col("to").alias("spot"))
-    work = placed.select("mark", "family", "grade", "spot").unionAll(others)
-    links = work.join(sets.select("mark", "grams"), "mark").groupBy("family", "grade", "spot").applyInArrow(_traverse, "a binary, b binary")
+    work = placed.select("mark", "family", "grade", "spot")
+    if mode == "span":  # Every block also gets the pivots of its size class's other blocks.
+        pivots = large.groupBy("family", "grade", "spot").agg(F.min("mark").alias("mark"), F.first("spots").alias("spots")).where(F.col("spot") < PIVOTS)
+        others = pivots.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("spots") - 1))).where("to <> spot").select("mark", "family", "grade", F.col("to").alias("spot"))
+        work = work.unionAll(others)
+    links = work.join(sets.select("mark", "grams"), "mark").groupBy("family", "grade", "spot").applyInArrow(lambda t: _traverse(t, mode), LINKS)
     links = materialize(links, "links")
-    found = connected_components(links)
+    components = lambda: connected_components(links.where("b is not null").select("a", "b"))
+    found = components() if mode == "span" else None
     if not large.isEmpty():
-        links = links.unionAll(_crossing(large, found, sets))
-        found = connected_components(links)
-    joined = classes.join(found.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
-    least = joined.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = joined.join(least, "component").select("mark", "class_id", "component_id")
-    out = marks.join(named, "mark", "left")
-    real = lambda c: F.nullif(F.coalesce(F.col(c), "doc_id"), F.lit(LAST_ID))
-    return out.select("doc_id", "n_shingles", real("component_id").alias("component_id"), real("class_id").alias("class_id"))
-
-
-def _crossing(large: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between blocks of one family, for the pairs of blocks whose sets are not
-    all in one component yet."""
-    labelled = materialize(large.join(found.withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("component", "mark")).drop("component"), "labelled")
-    per = labelled.groupBy("family", "grade", "spot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    i, j = per.alias("i"), per.alias("j")
-    settled = F.expr("i.lo = i.hi and j.lo = j.hi and i.lo = j.lo")
+        links = links.unionAll(_crossing(large, found, sets, mode))
+        found = components() if mode == "span" else None
+    return marks, classes, links, components() if mode == "counts" else found
+
+
+def _crossing(large: DataFrame, found: DataFrame | None, sets: DataFrame, mode: str) -> DataFrame:
+    """The links between blocks of one family; given the components ``found`` so far,
+    for the pairs of blocks whose sets are not all in one component yet."""
     later = F.expr("i.family = j.family and ((i.grade = j.grade and i.spot < j.spot) or i.grade + 1 = j.grade)")
-    pairs = i.join(j, later & ~settled).select("i.family", F.struct("i.grade", "i.spot").alias("x"), F.struct("j.grade", "j.spot").alias("y"))
+    label = []
+    if found is not None:
+        large = materialize(large.join(found.withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("component", "mark")).drop("component"), "labelled")
+        label = ["label"]
+        later = later & ~F.expr("i.lo = i.hi and j.lo = j.hi and i.lo = j.lo")
+    per = large.groupBy("family", "grade", "spot").agg(*[f(c).alias(n) for c in label for f, n in ((F.min, "lo"), (F.max, "hi"))] or [F.count(F.lit(1)).alias("n")])
+    pairs = per.alias("i").join(per.alias("j"), later).select("i.family", F.struct("i.grade", "i.spot").alias("x"), F.struct("j.grade", "j.spot").alias("y"))
     sides = pairs.withColumn("at", F.explode(F.array("x", "y"))).select("family", "x", "y", "at.grade", "at.spot")
-    work = sides.join(labelled, ["family", "grade", "spot"]).select("family", "x", "y", F.concat_ws(":", "grade", "spot").alias("side"), "label", "mark").join(sets.select("mark", "grams"), "mark")
-    return materialize(work.groupBy("family", "x", "y").applyInArrow(_traverse, "a binary, b binary"), "links")
+    work = sides.join(large, ["family", "grade", "spot"]).select("family", "x", "y", F.concat_ws(":", "grade", "spot").alias("side"), *label, "mark").join(sets.select("mark", "grams"), "mark")
+    return materialize(work.groupBy("family", "x", "y").applyInArrow(lambda t: _traverse(t, mode), LINKS), "links")

@@ -213,6 +213,27 @@ def test_large_families(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in j.jaccard_components(docs).collect()} == whole
 
 
+def test_every_link_of_near_copies(spark, monkeypatch):
+    """Each pair of similar sets is given once, in one block and across blocks."""
+    from docmill.llm import jaccard_join as j
+
+    words = [f"v{i}" for i in range(60)]
+    texts = [" ".join([*words[: 60 - k % 12], *[f"z{k}"] * (k % 3)]) for k in range(40)] + [None, "", "lone"]
+    docs = spark.createDataFrame([*enumerate(texts), (50, texts[7]), (None, texts[8])], "doc_id bigint, text string")
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts[:40])]
+    first = {frozenset(g): d for d, g in reversed(list(enumerate(grams)))}
+    want = {(a, b) for g, a in first.items() for h, b in first.items() if a < b and 4 * len(g & h) >= 3 * len(g | h)}
+    count = Counter(d for pair in want for d in pair)
+    assert len(want) > 3 * len(first)
+    for block in (j.BLOCK, 5):
+        monkeypatch.setattr(j, "BLOCK", block)
+        assert sorted(map(tuple, j.jaccard_links(docs).collect())) == sorted(want)
+        got = by_id(j.jaccard_components(docs))
+        assert {d: got[d]["n_links"] for d in range(43)} == {d: count[got[d]["class_id"]] for d in range(43)}
+        thin = by_id(j.jaccard_components(docs, count_links=False))
+        assert "n_links" not in thin[0] and {d: thin[d]["component_id"] for d in thin} == {d: got[d]["component_id"] for d in got}
+
+
 def test_media(docs, empty):
     from docmill.llm.media_chunks import cut, encode, gear_hashes, media_containers, read_media
 
