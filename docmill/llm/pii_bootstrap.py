@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base detectors find emails, IPv4 addresses, payment cards and phone numbers.  Their
-finds are the seeds.  Every seed, and every other token that carries a digit or an
-@, is an instance with lexical patterns around it: the two words before, the two
+finds are the seeds.  Every seed, every other run of adjacent tokens of one line that
+each carry a digit or an @ (no token but the last ends in punctuation), and every
+address spelled with "at" and "dot", is an instance with lexical patterns around it: the two words before, the two
 words after, and the word on either side.  Spark scores the bipartite graph of
 patterns and instances in rounds, until a round finds nothing new: a pattern's
 confidence for a kind is that kind's share of what is believed of its instances, so
@@ -12,8 +13,8 @@ shows that it is not one of any text.  An instance's belief is the noisy-or of i
 confident patterns.  Instances above the threshold are unseen identifiers: they keep
 their kind, count as known from then on, and their places are added to the base spans.
 
-All of it is DataFrame expressions.  Texts without a digit or @ leave after one
-character-class search; the graph holds only distinct (pattern, instance) pairs and
+All of it is DataFrame expressions.  Texts without a digit, @ or spelled dot leave
+after one search; the graph holds only distinct (pattern, instance) pairs and
 is aggregated before it is shuffled, so a pattern next to a third of all identifiers
 is one row per task.  The regular expressions are possessive or anchored by
 look-behind, so they stay linear on texts without blanks and never recurse.
@@ -41,12 +42,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _NON = r"[^\x20\x09-\x0D]"
-CANDIDATE = rf"(?<!{_NON})[^\x20\x09-\x0D0-9@]*+[0-9@]{_NON}*+"
+# A token and the blanks behind it, by which the next one of its line is adjacent.
+CANDIDATE = rf"(?<!{_NON})[^\x20\x09-\x0D0-9@]*+[0-9@]{_NON}*+[\x20\x09]*+"
+_DOT = r"[\x20\x09]++[(\[]?[Dd][Oo][Tt][)\]]?[\x20\x09]++"
+SPELLED = rf"(?<!{_NON}){_LOCAL}++[\x20\x09]++[(\[]?[Aa][Tt][)\]]?[\x20\x09]++[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++"
 CONTEXT = 64  # code points looked at on either side
 MIN_SEEDS = 3
 MIN_RLOGF = 1.0
 PATTERN_CONFIDENCE, BELIEF = 0.75, 0.8
-MIN_DIGITS = 4
 
 
 def _lit(s: str) -> str:
@@ -97,6 +100,21 @@ def _around(start: Column, end: Column) -> list[Column]:
     return [F.array_compact(F.array(*named))]
 
 
+def _runs(tokens: Column) -> Column:
+    """Adjacent finds of ``CANDIDATE`` as one span each, without the blanks behind."""
+    joins = lambda a, t: (a["end"] == t["start"]) & a["value"].rlike(r"[^,;:.!?\x20\x09][\x20\x09]+$")
+    span = lambda start, end, value: F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
+
+    def add(out: Column, t: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(span(last["start"], t["end"], F.concat(last["value"], t["value"]))))
+        return F.when((F.size(out) > 0) & F.coalesce(joins(F.get(out, F.size(out) - 1), t), F.lit(False)), longer).otherwise(F.concat(out, F.array(span(t["start"], t["end"], t["value"]))))
+
+    merged = F.aggregate(tokens, F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"), add)
+    bare = lambda t: F.regexp_replace(t["value"], r"[\x20\x09]+$", "")
+    return F.transform(merged, lambda t: span(t["start"], t["start"] + F.char_length(bare(t)), bare(t)))
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id``, the valid spans of each kind, and ``instances`` (start,
     end, value, kind or null, patterns)."""
@@ -111,9 +129,11 @@ def base_spans(docs: DataFrame) -> DataFrame:
     every = F.concat(*[F.transform(kind, _as_seed(kind)) for kind in KINDS])
     found = found.withColumn("seeds", every)
     tokens = F.when(F.col("some"), find_spans(CANDIDATE)).otherwise(none)
-    free = F.filter(tokens, lambda t: ~F.exists("seeds", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    others = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), F.lit(None).cast("string").alias("kind")))
-    instances = F.transform(F.concat("seeds", others), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), s["kind"].alias("kind"), _around(s["start"], s["end"])[0].alias("patterns")))
+    apart = lambda spans: lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+    spelled = F.when(F.col("text").rlike(_DOT), find_spans(SPELLED)).otherwise(none)
+    found = found.withColumn("spelled", F.filter(spelled, apart("seeds"))).withColumn("tokens", F.filter(F.filter(tokens, apart("seeds")), apart("spelled")))
+    others = F.transform(F.concat(_runs(F.col("tokens")), "spelled"), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), F.lit(None).cast("string").alias("kind")))
+    instances = F.transform(F.concat("seeds", others), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(F.lower(s["value"]), r"[\x20\x09]+", " ").alias("value"), s["kind"].alias("kind"), _around(s["start"], s["end"])[0].alias("patterns")))
     bare = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k)
     return found.select("doc_id", "row", *[bare(k) for k in KINDS], instances.alias("instances"))
 
@@ -125,9 +145,7 @@ def bootstrap(instances: DataFrame, rounds: int | None = None) -> DataFrame:
     edges = materialize(instances.select("value", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
     size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SEEDS)
     known = instances.where("kind is not null").select("value").distinct()
-    # An identifier is worth discovering if it has the digits of one.
-    digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
-    open_ = edges.join(known, "value", "left_anti").where((digits >= MIN_DIGITS) | F.contains("value", F.lit("@")))
+    open_ = edges.join(known, "value", "left_anti")
     found, done = materialize(seeds.limit(0), "pii-found"), 0
     while rounds is None or done < rounds:
         support = edges.join(seeds.unionAll(found), "value").groupBy("pattern", "kind").agg(F.sum("belief").alias("belief"), F.count(F.lit(1)).alias("seeds"))

@@ -170,6 +170,22 @@ def test_pii_discovers_beside_few_seeds_and_along_chains(spark):
     assert found([*seeds, *mixed, one]) == {} and found([*seeds, *anything]) == {}
 
 
+def test_pii_of_several_words(spark):
+    from docmill.llm.pii_bootstrap import detect_pii
+
+    given = [f"please call me +1 (555) 010-20{i} tonight" for i in range(30, 38)] + [f"kindly write to bob{i}@example.com for details" for i in range(8)]
+    unseen = {"phone": ["(030) 123 456 789", "555 010 203", "(743) 555-3824", "12 34"], "email": ["bob at example dot com", "eve [at] mail [dot] example [dot] org"]}
+    frame = {"phone": "please call me {} tonight", "email": "kindly write to {} for details"}
+    want = {}
+    for kind, values in unseen.items():
+        for v in values:
+            want[len(given)] = [(kind, frame[kind].index("{"), frame[kind].index("{") + len(v))]
+            given.append(frame[kind].format(v))
+    given.append("a list 12, 13 14\n15 of numbers")
+    got = {r["doc_id"]: [tuple(x) for x in r["added"] or []] for r in detect_pii(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")).collect()}
+    assert {d: x for d, x in got.items() if x} == want
+
+
 def test_jaccard(docs, empty, spark):
     from docmill.llm.jaccard_join import jaccard_components, trie_links
 
