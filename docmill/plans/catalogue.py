@@ -119,6 +119,8 @@ pipe("project_nested", "supplier", [{"$project": {"s_suppkey": 1, "who.name": "$
 pipe("add_fields_unset", "nation", [{"$addFields": {"tag": {"$concat": ["$n_name", "-", {"$toString": "$n_regionkey"}]}, "twice": {"$multiply": ["$n_nationkey", 2]}}}, {"$unset": ["n_regionkey"]}], "select n_nationkey, n_name, n_name || '-' || n_regionkey tag, n_nationkey * 2 twice from nation")
 pipe("replace_root", "region", [{"$replaceRoot": {"newRoot": {"k": "$r_regionkey", "v": {"$strLenCP": "$r_name"}}}}], "select r_regionkey k, cast(length(r_name) as int) v from region")
 pipe("unwind_words", "documents", [{"$project": {"doc_id": 1, "w": {"$split": ["$text", " "]}}}, {"$unwind": {"path": "$w", "includeArrayIndex": "i"}}, {"$match": {"i": {"$lt": 2}}}], "select doc_id, unnest(string_split(text, ' ')[1:2]) w, cast(unnest(range(least(2, len(string_split(text, ' '))))) as bigint) i from documents")
+pipe("unwind_all_words", "documents", [{"$project": {"doc_id": 1, "w": {"$split": ["$text", " "]}}}, {"$unwind": {"path": "$w", "includeArrayIndex": "i"}}, {"$group": {"_id": "$w", "n": {"$sum": 1}, "places": {"$sum": "$i"}}}],
+     "select w _id, count(*) n, cast(sum(i) as bigint) places from (select unnest(string_split(text, ' ')) w, unnest(range(len(string_split(text, ' ')))) i from documents) group by 1")
 pipe("sort_skip_limit", "orders", [{"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$skip": 5}, {"$limit": 10}, {"$project": {"o_orderkey": 1, "o_totalprice": 1}}], "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10 offset 5")
 pipe("redact", "customer", [{"$redact": {"$cond": [{"$gte": ["$c_acctbal", 5000]}, "$$KEEP", "$$PRUNE"]}}, {"$project": {"c_custkey": 1}}], "select c_custkey from customer where c_acctbal >= 5000")
 pipe("sample", "orders", [{"$sample": {"size": 7}}, {"$count": "n"}], "select 7::bigint n")
