@@ -1,34 +1,39 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-The model is nested.  Tokens sit in one word restaurant; a new table there draws its
-word from a spelling model, a hierarchy of context restaurants over the bytes of a
-word: the restaurant of the last three bytes shares the parent of the last two, that
-one the parent of the last byte, up to a single root over a uniform base.  Seating is
-sampled by Gibbs sweeps: a dish's party leaves its restaurant and is seated again,
-customer by customer, given all other tables; every table sends one customer to the
-parent.  Predictive probabilities are averaged over the sweeps after burn-in.
-
-The score, like the base, is over the V training words and one class of unknown
-words, whose probability is what the nested model leaves to all other strings;
-``open_score`` spells the unknown words out as well.
-
-Scale: texts are read once into packed rows per slice and word-hash range.  Word
-counts, spelling counts and scores are each combined by range, in salted groups, so
-no vocabulary is broadcast or collected.  The spelling model alone is: its contexts
-are classed into at most 258*32*8 leaf restaurants, which bounds it whatever the
-corpus (some 15 MB on natural text, 80 MB if every restaurant is in use).  The word
-restaurant's parties are reseated in their ranges given the total number of tables of
-the sweep before, as is usual for distributed samplers.
+Every word that precedes another is a context with a restaurant of its own; all context
+restaurants share one parent, the restaurant of words, over a uniform base of the V
+training words and one class of unknown words.  Seating is sampled by Gibbs sweeps in
+the table-count form: a dish's party leaves its restaurant, its tables leave the parent,
+and a new number of tables is drawn from the block conditional given all other tables.
+Sweeps are chained; after ``BURN_IN`` of them the predictive probabilities are averaged
+over ``SAMPLES`` more.  The score of a text is the sum of log10 P(word | word before).
+
+Contexts are one word long: pairs of neighbouring words already fill most of the disk
+that the check tool allows, and distinct triples are 0.9 of all tokens.
+
+Scale: pairs (context, word) are dealt by the context's hash into ranges of
+``RANGE_TOKENS`` tokens, so a restaurant and its parties share a task.  A context with
+more than ``HOT_TOKENS`` tokens is split by word over several ranges, which exchange its
+totals between sweeps; their number is at most ``HOT_WORDS``, which bounds what is
+broadcast.  Ranges and the words' ranges send each other table and customer counts, one
+entry per word of a range.  Nothing is collected but sums.  The first parties of a
+restaurant are reseated one after the other; later ones in chunks no larger than what
+was reseated before, against that sweep's totals so far.  The words' restaurant, which
+spans all tasks, takes the other tasks' totals of the sweep before.  Scores are added up
+in ``WAVES`` blocks of documents, which bounds the disk in use.
 
 Defined cases: null or empty text is the end token alone; a null doc_id is hashed as
 an empty text; repeated rows are scored alike and counted each; an empty training set
-gives the base distribution alone; words may be of any length and any bytes.
+gives every token probability 1, as the base does; words may be of any length and any
+bytes and are told apart by 48 bits of their hash; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,151 +41,159 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import materialize, row_count, texts
+from docmill.llm.common import discard, materialize, texts
 
-END, BOS, SYMBOLS = 256, 257, 257
-CLASSES2, CLASSES3 = 32, 8
-LEAVES = 258 * CLASSES2 * CLASSES3
-BURN_IN, SAMPLES = 4, 4
 THETA = 1.0
-SPAN_UP = (1, 258, CLASSES2, CLASSES3)  # child restaurants per parent, by level
-SALT_SLICES = 256
-DOCS_PER_RANGE = 20_000
+BURN_IN, SAMPLES = 2, 2
+RANGE_TOKENS, WORD_RANGE = 4_000_000, 4_000_000
+HOT_TOKENS, HOT_WORDS = 1_000_000, 65_536
+WAVES = 4
+SLICE = 16_000_000  # bytes of text tokenized at a time
+EXACT = 64  # parties up to this size have their conditional tabulated
+FEW = 12  # tables up to which larger parties' conditionals are corrected to exact ones
+SINGLY = 8  # parties of a restaurant that are reseated one by one
+_END, _START = b"", b" "
 
 
 # -- seating ---------------------------------------------------------------------
-def seat(count: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, theta: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of parties of ``count`` customers seated one after the other.
-
-    base: probability of the dish in the parent; others: tables of the restaurant's
-    other dishes.  Parties beyond 16 are seated in steps of a sixteenth of their size,
-    with the new tables of a step drawn together.
-    """
-    tables = np.minimum(count, 1).astype(np.int64)
-    active = np.flatnonzero(count > 1)
-    j = 1
-    while len(active):
-        step = max(1, j >> 4)
-        t = tables[active]
-        new = (theta + discount * (others[active] + t)) * base[active]
-        p = new / (new + np.maximum(j - discount * t, 1e-9))
-        tables[active] = t + rng.binomial(np.minimum(count[active] - j, step), p)
-        j += step
-        active = active[count[active] > j]
-    return tables
-
-
 def discount_of(n1: float, n2: float) -> float:
     return float(min(0.95, max(0.05, n1 / (n1 + 2 * n2)))) if n1 else 0.5
 
 
-class Spelling:
-    """Context restaurants over bytes; levels run from the root (0) to the leaves (3)."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, seed: int = 5):
-        self.rng = np.random.default_rng(seed)
-        order = np.argsort(codes)
-        self.codes, self.counts = [codes[order]], [counts[order].astype(np.int64)]
-        self.up: list[np.ndarray] = []
-        for span in (CLASSES3, CLASSES2, 258):
-            restaurant, symbol = np.divmod(self.codes[0], SYMBOLS)
-            parent, up = np.unique(restaurant // span * SYMBOLS + symbol, return_inverse=True)
-            self.codes.insert(0, parent)
-            self.up.insert(0, up)
-        self.rooms, self.room = [], []
-        for c in self.codes:
-            rooms, room = np.unique(c // SYMBOLS, return_inverse=True)
-            self.rooms.append(rooms)
-            self.room.append(room)
-        self.tables = [np.ones(len(c), dtype=np.int64) for c in self.codes]
-        self.discounts = [0.5] * 4
-        self._recount()
-
-    def _recount(self) -> None:
-        self.counts = self.counts[-1:]
-        for level in (2, 1, 0):
-            self.counts.insert(0, np.bincount(self.up[level], weights=self.tables[level + 1], minlength=len(self.codes[level])).astype(np.int64))
-            self.tables[level] = np.minimum(self.tables[level], self.counts[0])
-
-    def _rooms(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        size = len(self.rooms[level])
-        return (np.bincount(self.room[level], weights=x[level], minlength=size) for x in (self.counts, self.tables))
-
-    def _predict(self, most: int) -> np.ndarray:
-        """Predictive probability of every cell of level ``most``."""
-        p = np.full(len(self.codes[0]), 1.0 / SYMBOLS)
-        for level in range(most + 1):
-            d, (customers, tables) = self.discounts[level], self._rooms(level)
-            if level:
-                p = p[self.up[level - 1]]
-            r = self.room[level]
-            p = (self.counts[level] - d * self.tables[level] + (THETA + d * tables[r]) * p) / (THETA + customers[r])
-        return p
-
-    def sweep(self) -> None:
-        for level in (3, 2, 1, 0):
-            c = self.counts[level]
-            self.discounts[level] = discount_of(np.count_nonzero(c == 1), np.count_nonzero(c == 2))
-            base = self._predict(level - 1)[self.up[level - 1]] if level else np.full(len(c), 1.0 / SYMBOLS)
-            _, tables = self._rooms(level)
-            self.tables[level] = seat(c, base, tables[self.room[level]] - self.tables[level], self.discounts[level], THETA, self.rng)
-            if level:
-                self.counts[level - 1] = np.bincount(self.up[level - 1], weights=self.tables[level], minlength=len(self.codes[level - 1])).astype(np.int64)
-
-    def _matrix(self) -> np.ndarray:
-        """Rows of symbol probabilities of all restaurants, root first."""
-        rows, before = [], np.full((1, SYMBOLS), 1.0 / SYMBOLS)
-        for level in range(4):
-            d, (customers, tables) = self.discounts[level], self._rooms(level)
-            parents = np.searchsorted(self.rooms[level - 1], self.rooms[level] // SPAN_UP[level]) if level else np.zeros(1, dtype=int)
-            now = before[parents] * ((THETA + d * tables) / (THETA + customers))[:, None]
-            now[self.room[level], self.codes[level] % SYMBOLS] += (self.counts[level] - d * self.tables[level]) / (THETA + customers[self.room[level]])
-            rows.append(now)
-            before = now
-        return np.concatenate(rows)
-
-    def average(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row of each leaf context, averaged log10 probabilities by row).  A context
-        without customers uses its nearest ancestor's row."""
-        for _ in range(BURN_IN):
-            self.sweep()
-        total = 0.0
-        for _ in range(SAMPLES):
-            self.sweep()
-            total = total + self._matrix()
-        at, index = 0, np.zeros(LEAVES, dtype=np.int32)
-        leaf = np.arange(LEAVES)
-        for level, span in ((0, LEAVES), (1, CLASSES2 * CLASSES3), (2, CLASSES3), (3, 1)):
-            place = np.searchsorted(self.rooms[level], leaf // span)
-            there = (place < len(self.rooms[level])) & (self.rooms[level][np.minimum(place, len(self.rooms[level]) - 1)] == leaf // span)
-            index[there] = at + place[there]
-            at += len(self.rooms[level])
-        return index, np.log10(total / SAMPLES).astype(np.float32)
-
-
-def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(leaf context, symbol) of every byte and end of the words, and word starts."""
-    flat = np.frombuffer(b"\n".join(words) + b"\n", dtype=np.uint8).astype(np.int64)
-    sizes = np.array([len(w) + 1 for w in words])
-    starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(flat)) - np.repeat(starts, sizes)
-    before = []
-    for k in (1, 2, 3):
-        shifted = np.full(len(flat), BOS)
-        shifted[k:] = flat[:-k] if k < len(flat) else []
-        before.append(np.where(place >= k, shifted, BOS))
-    kind = lambda x: np.where(x == BOS, 0, x % 32)
-    leaf = (before[0] * CLASSES2 + kind(before[1])) * CLASSES3 + kind(before[2]) % CLASSES3
-    return leaf, np.where(np.arange(len(flat)) == np.repeat(starts + sizes - 1, sizes), END, flat), starts
-
-
-def spelled(words: list[bytes], model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """log10 probability of every word under the spelling model."""
-    out = []
-    for i in range(0, len(words), 200_000):
-        leaf, symbol, starts = spell(words[i : i + 200_000])
-        out.append(np.add.reduceat(model[1][model[0][leaf], symbol].astype(np.float64), starts))
-    return np.concatenate(out) if out else np.zeros(0)
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma for x > 0 by Stirling's series behind six recurrence steps."""
+    shift = x * (x + 1) * (x + 2)
+    shift2 = (x + 3) * (x + 4) * (x + 5)
+    y = x + 6
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) - np.log(shift) - np.log(shift2)
+
+
+class Stirling:
+    """log of the generalised Stirling numbers S(c, t): the seatings of c customers at
+    t tables.  Exact up to ``EXACT`` customers or ``FEW`` tables; beyond by the saddle
+    point of the table-size distribution, which is tabulated over the mean size c/t."""
+
+    def __init__(self, d: float):
+        self.d = d
+        self.table = np.full((EXACT + 1, EXACT + 1), -np.inf)
+        self.table[1, 1] = 0.0
+        with np.errstate(divide="ignore"):
+            for c in range(2, EXACT + 1):
+                t = np.arange(1, c + 1)
+                self.table[c, 1 : c + 1] = np.logaddexp(self.table[c - 1, : c], self.table[c - 1, 1 : c + 1] + np.log(np.maximum(c - 1 - d * t, 1e-300)))
+        y = np.concatenate([1 - np.logspace(-7, -0.31, 1500), np.logspace(-0.32, -280 * min(1.0, 0.05 / (1 - d) + 0.1), 4000)])
+        phi, x = 1 - y**d, 1 - y
+        mean = d * x * y ** (d - 1) / phi
+        ok = np.isfinite(mean) & (mean > 1) & (np.diff(mean, prepend=0) > 0)
+        self.mean, self.phi, self.x = np.log(mean[ok]), np.log(phi[ok] / d), np.log(x[ok])
+        self.var = np.log(np.maximum(mean * (1 + (1 - d) * x / y - mean), 1e-12))[ok]
+
+    def log(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Saddle-point value for c customers at t tables."""
+        m = np.log(np.maximum(c / t, 1 + 1e-9))
+        return _lgamma(c + 1.0) - _lgamma(t + 1.0) + t * np.interp(m, self.mean, self.phi) - c * np.interp(m, self.mean, self.x) - 0.5 * (1.8378770664093453 + np.log(t) + np.interp(m, self.mean, self.var))
+
+    def correction(self, c: np.ndarray) -> np.ndarray:
+        """By party, what the saddle point lacks at 1 ... ``FEW`` tables, where the
+        explicit sum over j of (-1)^j binomial(t, j) (-jd)_c / (d^t t!) is exact."""
+        d, t, j = self.d, np.arange(1, FEW + 1), np.arange(1, FEW + 1)
+        factor = -np.array([math.gamma(1 + x) * math.sin(math.pi * x) / math.pi for x in (j * d).tolist()])
+        choose = np.array([[(-1) ** k * math.comb(n, k) for n in t.tolist()] for k in j.tolist()])
+        terms = np.exp(_lgamma(c[:, None] - j * d) - _lgamma(c - d)[:, None]) * factor
+        exact = np.log(np.maximum(terms @ choose, 1e-300)) + _lgamma(c - d)[:, None] - t * math.log(d) - _lgamma(t + 1.0)
+        return exact - self.log(c[:, None], t[None, :].astype(float))
+
+
+class Parent:
+    """What a restaurant knows of its parent: the probability that the parent serves a
+    dish to the j-th new table, once the party's own tables have left the parent."""
+
+    def __init__(self, mass: np.ndarray, total: np.ndarray, fresh: np.ndarray, discount: float, grows: bool):
+        self.mass, self.total, self.fresh, self.discount, self.grows = mass, total, fresh, discount, grows
+
+    def at(self, i: np.ndarray) -> Parent:
+        return Parent(self.mass[i], self.total[i], self.fresh[i], self.discount, self.grows)
+
+    def log(self, j: np.ndarray) -> np.ndarray:
+        """log probability for the j-th further table, by party and j (2-d)."""
+        if not self.grows:
+            return np.broadcast_to(np.log(self.mass / self.total)[:, None], (len(self.mass), j.shape[-1]))
+        more = j - np.where(self.fresh[:, None] & (j > 0), self.discount, 0.0)
+        return np.log((self.mass[:, None] + more) / (self.total[:, None] + j))
+
+
+def seat(count: np.ndarray, others: np.ndarray, parent: Parent, stirling: Stirling, theta: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of parties of ``count`` >= 2 customers, each drawn from its conditional
+    S(c, t) * prod_i (theta + d (others + i)) P_i given ``others``, the other tables."""
+    out, d = np.ones(len(count), dtype=np.int64), stirling.d
+    order = np.argsort(count, kind="stable")
+    sizes = count[order]
+    for c in np.unique(sizes[sizes <= EXACT]).tolist():
+        at = order[np.searchsorted(sizes, c) : np.searchsorted(sizes, c, side="right")]
+        j = np.arange(1, c, dtype=np.float64)[None, :]
+        logs = np.zeros((len(at), c))
+        np.cumsum(np.log(theta + d * (others[at][:, None] + j)) + parent.at(at).log(j), axis=1, out=logs[:, 1:])
+        logs += stirling.table[c, 1 : c + 1]
+        weight = np.exp(logs - logs.max(axis=1, keepdims=True)).cumsum(axis=1)
+        out[at] = 1 + (weight < (rng.random(len(at)) * weight[:, -1])[:, None]).sum(axis=1)
+    large = order[np.searchsorted(sizes, EXACT, side="right") :]
+    if len(large):
+        out[large] = _seat_large(count[large].astype(float), others[large].astype(float), parent.at(large), stirling, theta, rng)
+    return out
+
+
+def _seat_large(c: np.ndarray, others: np.ndarray, parent: Parent, stirling: Stirling, theta: float, rng: np.random.Generator) -> np.ndarray:
+    """The conditional over a grid: first log-spaced over all t, then around the mode."""
+    d, a, lacking = stirling.d, theta / stirling.d + others, stirling.correction(c)
+    slope = ((1 - lacking[:, -2] / lacking[:, -1]) / math.log(FEW / (FEW - 1)))[:, None]
+
+    def logs(t: np.ndarray) -> np.ndarray:
+        # The parent's probability half way through the party stands for its mean.
+        served = np.log((parent.mass[:, None] + t / 2) / (parent.total[:, None] + t / 2)) if parent.grows else np.log(parent.mass / parent.total)[:, None]
+        k = np.clip(t, 1, FEW) - 1
+        below = np.minimum(k.astype(np.int64), FEW - 2)
+        low, high = np.take_along_axis(lacking, below, 1), np.take_along_axis(lacking, below + 1, 1)
+        # Beyond FEW tables what lacks goes on to fall with log t, down to nothing.
+        fall = 1 + slope * np.log(np.maximum(t, FEW) / FEW)
+        return stirling.log(c[:, None], t) + (low + (k - below) * (high - low)) * np.clip(fall, 0.0, 1.0) + t * (np.log(d) + served) + _lgamma(a[:, None] + t) - _lgamma(a)[:, None]
+
+    grid = np.exp(np.linspace(0, 1, 20)[None, :] * np.log(c)[:, None])
+    near = lambda k: np.take_along_axis(grid, k, 1)
+    best = np.clip(logs(grid).argmax(axis=1), 1, grid.shape[1] - 2)[:, None]
+    lo, hi = near(best - 1), near(best + 1)
+    grid = lo + (hi - lo) * np.linspace(0, 1, 20)[None, :]
+    value = logs(grid)
+    best = np.clip(value.argmax(axis=1), 1, grid.shape[1] - 2)[:, None]
+    f = lambda k: np.take_along_axis(value, k, 1)
+    step = near(best) - near(best - 1)
+    bend = np.maximum(2 * f(best) - f(best - 1) - f(best + 1), 1e-12)
+    reach = np.maximum(12 * step / np.sqrt(bend), step)
+    lo, hi = np.floor(np.maximum(1.0, near(best) - reach)), np.minimum(c[:, None], np.ceil(near(best) + reach))
+    # Whole numbers where 64 of them suffice, else 64 places of equal width.
+    width = np.maximum(1.0, (hi - lo) / 63)
+    grid = lo + width * np.arange(64)[None, :]
+    value = np.where(grid <= hi + 1e-6, logs(np.minimum(grid, c[:, None])), -np.inf)
+    weight = np.exp(value - value.max(axis=1, keepdims=True)).cumsum(axis=1)
+    k = (weight < (rng.random(len(c)) * weight[:, -1])[:, None]).sum(axis=1)
+    inside = np.where(width[:, 0] > 1, width[:, 0] * (rng.random(len(c)) - 0.5), 0.0)
+    return np.clip(np.rint(near(k[:, None])[:, 0] + inside), 1, c).astype(np.int64)
+
+
+def sweep(room: np.ndarray, count: np.ndarray, tables: np.ndarray, totals: np.ndarray, parent: Parent, stirling: Stirling, theta: float, rng: np.random.Generator) -> None:
+    """One Gibbs sweep over the parties of many restaurants (sorted by ``room``), in
+    place: ``tables`` by party and ``totals`` by room follow every step."""
+    active = np.flatnonzero(count > 1)
+    if not len(active):
+        return
+    rooms = room[active]
+    rank = np.arange(len(active)) - np.searchsorted(rooms, rooms)
+    step = np.where(rank < SINGLY, rank, SINGLY + np.log2(np.maximum(rank, SINGLY) / SINGLY).astype(np.int64))
+    order = np.argsort(step, kind="stable")
+    for mine in np.split(active[order], np.flatnonzero(np.diff(step[order])) + 1):
+        here = room[mine]
+        new = seat(count[mine], totals[here] - tables[mine], parent.at(mine), stirling, theta, rng)
+        totals += np.bincount(here, weights=new - tables[mine], minlength=len(totals)).astype(totals.dtype)
+        tables[mine] = new
 
 
 # -- packed rows -----------------------------------------------------------------
@@ -188,204 +201,398 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
-PACKED = "rng int, slice bigint, words binary, counts binary, docs binary, at binary, tf binary"
-_TYPES = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> 16
 
 
-def _batch(rows: list[tuple], schema: str, types: tuple) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [c.split()[0] for c in schema.split(", ")])
+def _pack(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def packed_texts(docs: DataFrame, ranges: int) -> DataFrame:
-    """Per slice of texts and word-hash range: the distinct words, their counts in the
-    training texts, and (text, word, frequency) postings.  Row -1 of a slice has its
-    doc_ids and token numbers.  The end token is the empty word."""
+def _unpack(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8").astype(np.int64)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        key = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part, raw in texts(batch):
-                code: dict[bytes, int] = {b"": 0}
-                put = code.setdefault
-                ids = [[put(w, len(code)) for w in t.lower().split()] + [0] for t in raw]
-                doc_ids = part.column("doc_id").to_pylist()
-                sizes = np.array([len(x) for x in ids], dtype=np.int64)
-                flat = np.fromiter((i for x in ids for i in x), dtype=np.int64, count=int(sizes.sum()))
-                del ids
-                who = np.repeat(np.arange(len(sizes)), sizes)
-                words = list(code)
-                train = np.array([not held_out(d) for d in doc_ids])
-                counts = np.bincount(flat[train[who]], minlength=len(words))
-                pairs, tf = np.unique(who * len(words) + flat, return_counts=True)
-                who, flat = np.divmod(pairs, len(words))
-                rng_of = np.array([xxhash.xxh3_64_intdigest(w) % ranges for w in words])
-                null = np.array([d is None for d in doc_ids])
-                head = np.array([d or 0 for d in doc_ids], dtype="<i8")
-                rows = [(-1, key, head.tobytes(), null.tobytes(), sizes.astype("<u4").tobytes(), b"", b"")]
-                order = np.argsort(rng_of, kind="stable")
-                local = np.empty(len(words), dtype=np.int64)
-                by = np.argsort(rng_of[flat], kind="stable")
-                edges = np.searchsorted(rng_of[order], np.arange(ranges + 1))
-                cuts = np.searchsorted(rng_of[flat][by], np.arange(ranges + 1))
-                for r in range(ranges):
-                    mine, posts = order[edges[r] : edges[r + 1]], by[cuts[r] : cuts[r + 1]]
-                    if len(mine):
-                        local[mine] = np.arange(len(mine))
-                        rows.append((r, key, b"\n".join([words[i] for i in mine]), counts[mine].astype("<u4").tobytes(), who[posts].astype("<u4").tobytes(), local[flat[posts]].astype("<u4").tobytes(), tf[posts].astype("<u4").tobytes()))
-                key += 1
-                yield _batch(rows, PACKED, _TYPES)
+def _numbers(blob: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.frombuffer(blob, dtype=kind).astype(np.float64 if kind == "<f8" else np.int64)
+
+
+def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(pack, PACKED), "lm-texts")
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    return pa.Table.from_batches([_arrow(rows, schema)])
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """The word counts of a range."""
-    total: dict[bytes, int] = {}
-    for words, counts in zip(table.column("words").to_pylist(), table.column("counts").to_pylist(), strict=True):
-        for w, c in zip(words.split(b"\n"), np.frombuffer(counts, dtype="<u8" if len(counts) == 8 * (words.count(b"\n") + 1) else "<u4").tolist(), strict=True):
-            total[w] = total.get(w, 0) + c
-    row = (table.column("rng")[0].as_py(), b"\n".join(total), np.array(list(total.values()), dtype="<u8").tobytes())
-    return pa.table([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["rng", "words", "counts"])
+class _Slice:
+    """The tokens of some texts as ranks of their hashes, with the word before each."""
 
+    def __init__(self, raw: list[bytes]):
+        code: dict[bytes, int] = {_END: 0, _START: 1}
+        put = code.setdefault
+        ids: list[int] = []
+        sizes = []
+        for t in raw:
+            words = t.lower().split()
+            ids += [put(w, len(code)) for w in words]
+            ids.append(0)
+            sizes.append(len(words) + 1)
+        self.sizes = np.array(sizes, dtype=np.int64)
+        hashes = np.fromiter((word_hash(w) for w in code), dtype=np.int64, count=len(code))
+        del code
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.hashes = hashes[order]
+        w = rank[np.array(ids, dtype=np.int64)]
+        v = np.empty_like(w)
+        v[1:] = w[:-1]
+        v[(np.cumsum(self.sizes) - self.sizes)] = rank[1]
+        self.pair = v * len(order) + w
 
-def _reseated(words: list[bytes], counts: np.ndarray, model: tuple | None, stats: dict, seed: int) -> np.ndarray:
-    """Sampled tables of every word's party; one each before there is a spelling model."""
-    if model is None:
-        return np.minimum(counts, 1)
-    rng = np.random.default_rng(seed)
-    return seat(counts, 10.0 ** spelled(words, model), np.maximum(0, stats["tables"] - 1) * np.ones(len(words)), stats["discount"], THETA, rng)
+    def runs(self, pairs: np.ndarray, ranges: int, hot: dict[int, int]) -> Iterator[tuple[int, np.ndarray, tuple[bytes, bytes, bytes]]]:
+        """(range, places, (contexts, words per context, words)) of sorted distinct pairs."""
+        v, w = np.divmod(pairs, len(self.hashes))
+        hv = self.hashes[v]
+        rng = hv % ranges
+        if hot:
+            names = np.array(sorted(hot), dtype=np.int64)
+            at = np.minimum(np.searchsorted(names, hv), len(names) - 1)
+            parts = np.where(names[at] == hv, np.array([hot[x] for x in names.tolist()])[at], 1)
+            rng = (rng + (self.hashes[w] >> 8) % parts) % ranges
+        by = np.argsort(rng.astype(np.uint16) if ranges < 65536 else rng, kind="stable")
+        edges = np.flatnonzero(np.diff(rng[by], prepend=-1))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(by)], strict=True):
+            mine = by[a:b]
+            first = np.flatnonzero(np.diff(v[mine], prepend=-1))
+            yield int(rng[mine[0]]), mine, (_pack(self.hashes[v[mine[first]]]), np.diff(first, append=len(mine)).astype("<u4").tobytes(), _pack(self.hashes[w[mine]]))
 
 
-def _spelling_counts(words: DataFrame, model, stats: dict) -> tuple[np.ndarray, np.ndarray, int]:
-    """Customers of the leaf restaurants, (context, symbol) codes and counts, and the
-    number of tables that sent them.  The result has a fixed largest size."""
-    shared = words.sparkSession.sparkContext.broadcast(model) if model is not None else None
+def frequent_contexts(docs: DataFrame) -> tuple[int, dict[int, int]]:
+    """The number of tokens, and the contexts that are split with their number of parts.
+    A slice names only words that hold more than half of the share looked for there, so
+    what comes together has a fixed largest size per slice."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.to_pylist():
-                spellings, counts = x["words"].split(b"\n"), np.frombuffer(x["counts"], dtype="<u8").astype(np.int64)
-                tables = _reseated(spellings, counts, shared and shared.value, stats, 7 + x["rng"])
-                for i in range(0, len(spellings), 200_000):
-                    leaf, symbol, starts = spell(spellings[i : i + 200_000])
-                    weight = np.repeat(tables[i : i + 200_000], np.diff(np.append(starts, len(leaf))))
-                    codes, place = np.unique(leaf * SYMBOLS + symbol, return_inverse=True)
-                    customers = np.bincount(place, weights=weight).astype(np.int64)
-                    some = customers > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(codes[some]), pa.array(customers[some])], ["code", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([int(tables.sum())], pa.int64())], ["code", "n"])
-
-    found = words.mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    codes, n = found.column("code").to_numpy(), found.column("n").to_numpy()
-    return codes[codes >= 0], n[codes >= 0], int(n[codes < 0].sum())
-
-
-VALUES = ("base", "score", "open", "known")
-SCORED = "rng int, words binary, " + ", ".join(f"{v} binary" for v in VALUES)
-PARTS = "slice bigint, docs binary, " + ", ".join(f"{v} binary" for v in VALUES)
-
-
-def score_texts(docs: DataFrame, rounds: int = 2) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
-    open_score`` of every document, the model learned from the documents that are not held out."""
-    n = row_count(docs)
-    ranges = max(12, min(4096, n // DOCS_PER_RANGE))
-    packed = packed_texts(docs, ranges)
-    salts = max(1, packed.where("rng = -1").count() // SALT_SLICES)
-    salt = F.pmod(F.xxhash64("slice"), F.lit(salts)).cast("int")
-    merged = packed.where("rng >= 0").select("rng", "words", "counts", salt.alias("salt"))
-    word_schema = "rng int, words binary, counts binary"
-    merged = merged.groupBy("rng", "salt").applyInArrow(lambda t: _merge(t), word_schema)
-    if salts > 1:
-        merged = merged.groupBy("rng").applyInArrow(lambda t: _merge(t), word_schema)
-    words = materialize(merged, "lm-words")
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("counts").to_pylist():
-                c = np.frombuffer(x, dtype="<u8").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in (c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum())], ["n", "v", "n1", "n2"])
-
-    sums = words.mapInArrow(tell, "n bigint, v bigint, n1 bigint, n2 bigint").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2")]).first()
-    stats = {"n": sums["n"], "v": sums["v"], "discount": discount_of(sums["n1"], sums["n2"]), "tables": sums["v"]}
-    model = None
-    for _ in range(rounds):
-        codes, customers, tables = _spelling_counts(words, model, stats)
-        if not len(codes):
-            break
-        stats["tables"] = tables
-        model = Spelling(codes, customers).average()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.to_pylist():
-                c = np.frombuffer(x["counts"], dtype="<u8")
-                mass = float((10.0 ** spelled(x["words"].split(b"\n"), shared.value))[c > 0].sum())
-                yield pa.RecordBatch.from_arrays([pa.array([x["rng"]], pa.int32()), pa.array([mass])], ["rng", "mass"])
+            for _, raw in texts(batch, most=SLICE):
+                words = Counter(b" ".join(raw).lower().split())
+                total = words.total() + len(raw)
+                some = [(word_hash(w), n) for w, n in words.items() if 2 * HOT_WORDS * n >= total]
+                yield _arrow([(-1, total), (word_hash(_START), len(raw)), *some], "h bigint, n bigint")
+
+    sums = docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    sums = materialize(sums, "lm-frequent")
+    total = sums.where("h = -1").agg(F.sum("n")).first()[0] or 0
+    hot = max(HOT_TOKENS, total // HOT_WORDS)
+    ranges = ranges_of(total)
+    return total, {r["h"]: min(ranges, -(-r["n"] // hot)) for r in sums.where((F.col("h") >= 0) & (F.col("n") > hot)).collect()}
+
 
-    # Summed in range order, so that reruns agree.
-    masses = words.select("rng", "words", "counts").mapInArrow(reach, "rng int, mass double").orderBy("rng").toArrow() if model is not None else None
-    stats["unseen"] = max(1e-9, 1.0 - sum(masses.column("mass").to_pylist())) if masses is not None else 1.0
+def ranges_of(tokens: int) -> int:
+    return max(12, -(-tokens // RANGE_TOKENS))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+PAIRS = "rng int, v binary, n binary, w binary, c binary"
+MODEL = "rng int, v binary, n binary, words binary, place binary, c binary"
+
+
+def pair_counts(docs: DataFrame, ranges: int, hot: dict[int, int]) -> DataFrame:
+    """Per range its contexts, their words and the pairs' counts in the training texts;
+    pairs of held-out texts are there with count 0."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x in batch.to_pylist():
-                spellings, c = x["words"].split(b"\n"), np.frombuffer(x["counts"], dtype="<u8").astype(np.int64)
-                base = np.log10((c + 0.5) / (stats["n"] + 0.5 * (stats["v"] + 1)))
-                p = wide = base
-                if shared.value is not None:
-                    spelling, d = 10.0 ** spelled(spellings, shared.value), stats["discount"]
-                    spelling, free = np.stack([np.where(c > 0, spelling, stats["unseen"]), spelling]), np.zeros((2, len(c)))
-                    for s in range(SAMPLES):
-                        tables = _reseated(spellings, c, shared.value, stats, 100 * s + 11 + x["rng"])
-                        free += (c - d * tables + (THETA + d * stats["tables"]) * spelling) / (THETA + stats["n"])
-                    p, wide = np.log10(np.maximum(free / SAMPLES, 1e-300))
-                rows.append((x["rng"], x["words"], base.tobytes(), p.tobytes(), wide.tobytes(), (c > 0).astype(float).tobytes()))
-            yield _batch(rows, SCORED, (pa.int32(), *[pa.binary()] * 5))
-
-    scored = materialize(words.mapInArrow(score, SCORED), "lm-scores")
-
-    def add(posts: pa.Table, table: pa.Table) -> pa.Table:
-        x = table.to_pylist()[0]
-        code = {w: i for i, w in enumerate(x["words"].split(b"\n"))}
-        values = [np.frombuffer(x[v]) for v in VALUES]
-        rows = []
-        for y in posts.to_pylist():
-            here = np.fromiter((code[w] for w in y["words"].split(b"\n")), dtype=np.int64)
-            who, at, tf = (np.frombuffer(y[c], dtype="<u4").astype(np.int64) for c in ("docs", "at", "tf"))
-            ids, place = np.unique(who, return_inverse=True)
-            w = here[at]
-            rows.append((y["slice"], ids.astype("<u4").tobytes(), *[np.bincount(place, weights=v * tf, minlength=len(ids)).tobytes() for v in (v[w] for v in values)]))
-        return pa.Table.from_batches([_batch(rows, PARTS, (pa.int64(), *[pa.binary()] * 5))])
-
-    left = packed.where("rng >= 0").select("rng", salt.alias("salt"), "slice", "words", "docs", "at", "tf").groupBy("rng", "salt")
-    right = scored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).groupBy("rng", "salt")
-    parts = left.cogroup(right).applyInArrow(lambda a, b: add(a, b), PARTS)
-    heads = packed.where("rng = -1").select("slice", "docs", "words", F.col("counts").alias("null"))
+            for part, raw in texts(batch, most=SLICE):
+                s = _Slice(raw)
+                train = np.repeat([not held_out(d) for d in part.column("doc_id").to_pylist()], s.sizes)
+                keys = np.sort(s.pair * 2 + train)
+                first = np.flatnonzero(np.diff(keys >> 1, prepend=-1))
+                counts = np.add.reduceat(keys & 1, first)
+                rows = [(r, v, n, w, counts[mine].astype("<u4").tobytes()) for r, mine, (v, n, w) in s.runs(keys[first] >> 1, ranges, hot)]
+                yield _arrow(rows, PAIRS)
+
+    def merge(table: pa.Table) -> pa.Table:
+        column = lambda c, f: np.concatenate([f(x) for x in table.column(c).to_pylist()])
+        contexts, at = np.unique(column("v", _unpack), return_inverse=True)
+        v = np.repeat(at, column("n", _numbers))
+        words, w = np.unique(column("w", _unpack), return_inverse=True)
+        key = v * len(words) + w
+        del v, w, at
+        order = np.argsort(key, kind="stable")
+        key, c = key[order], column("c", _numbers)[order]
+        del order
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        v, w = np.divmod(key[first], len(words))
+        row = (table.column("rng")[0].as_py(), _pack(contexts), np.bincount(v, minlength=len(contexts)).astype("<u4").tobytes(), _pack(words), w.astype("<u4").tobytes(), np.add.reduceat(c, first).astype("<u8").tobytes())
+        return _table([row], MODEL)
+
+    posted = docs.select("doc_id", "text").mapInArrow(pairs, PAIRS)
+    return materialize(posted.groupBy("rng").applyInArrow(merge, MODEL), "lm-pairs")
+
+
+# -- sampling --------------------------------------------------------------------
+#: Rows between ranges of pairs (rng) and ranges of words (wr).  PAIR_ROW: the pairs of a
+#: range; TABLES: their tables; SENT: tables and counts by word; REPLY: the words'
+#: customers and tables, in the order of SENT; WORDS: state of a words' range; HOT and
+#: SUMS: numbers to be added up.
+MAIL = "rng int, wr int, kind int, a binary, b binary, c binary, d binary, e binary, s array<double>"
+PAIR_ROW, TABLES, SENT, REPLY, WORDS, HOT, SUMS = range(7)
+
+
+def _mail(rng: int, wr: int, kind: int, *blobs: bytes, s: list[float] | None = None) -> tuple:
+    return (rng, wr, kind, *blobs, *[None] * (5 - len(blobs)), s)
+
+
+class _Range:
+    """The restaurants of one range, from its rows."""
+
+    def __init__(self, rows: list[dict], hot: dict[int, tuple[float, float] | None], samples: int):
+        model = next(r for r in rows if r["kind"] == PAIR_ROW)
+        self.rng, self.words = model["rng"], model["c"]
+        self.contexts, self.sizes = _unpack(model["a"]), _numbers(model["b"])
+        self.place, self.count = _numbers(model["d"]), _numbers(model["e"], "<u8")
+        self.room = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.tables = np.minimum(self.count, 1)
+        for r in rows:
+            if r["kind"] == TABLES:
+                self.tables[self.count > 1] = _numbers(r["a"])
+        self.customers = np.bincount(self.room, weights=self.count, minlength=len(self.sizes))
+        self.totals = np.bincount(self.room, weights=self.tables, minlength=len(self.sizes))
+        self.split = np.isin(self.contexts, np.fromiter(hot, dtype=np.int64, count=len(hot)))
+        self.shares = [(float(v), float(t), float(c)) for v, t, c in zip(self.contexts[self.split], self.totals[self.split], self.customers[self.split], strict=True)]
+        for i in np.flatnonzero(self.split).tolist():  # totals over all ranges, as of the sweep before
+            self.totals[i], self.customers[i] = hot[int(self.contexts[i])] or (self.totals[i], self.customers[i])
+        replies = sorted((r for r in rows if r["kind"] == REPLY), key=lambda r: r["wr"])
+        if replies:
+            self.above, self.above_tables, self.known = (np.concatenate([_numbers(r[x], "<u8") for r in replies]) for x in "abc")
+            self.mean_sum = np.concatenate([_numbers(r["d"], "<f8") for r in replies]) if replies[0]["d"] else 0.0
+        self.samples = samples
+
+    def parent(self, g: dict) -> Parent:
+        """The words' restaurant without the own tables of each party."""
+        customers = self.above[self.place] - self.tables
+        base = (THETA + g["d1"] * g["t1"]) * g["base"]
+        mass = customers - g["d1"] * np.minimum(self.above_tables[self.place], customers) + base
+        return Parent(mass, THETA + g["n1"] - self.tables, customers <= 0, g["d1"], True)
+
+    def sweep(self, g: dict, rng: np.random.Generator) -> None:
+        sweep(self.room, self.count, self.tables, self.totals, self.parent(g), Stirling(g["d2"]), THETA, rng)
+
+    def predictive(self, g: dict) -> np.ndarray:
+        """P(word | context) of every pair under this seating and the mean over the
+        sampled seatings of the words' restaurant."""
+        mean = (self.mean_sum + _above(self.above, self.above_tables, g)) / self.samples
+        seated = THETA + self.customers
+        free = (THETA + g["d2"] * self.totals) / seated
+        return (self.count - g["d2"] * self.tables) / seated[self.room] + free[self.room] * mean[self.place]
+
+
+def _above(customers: np.ndarray, tables: np.ndarray, g: dict) -> np.ndarray:
+    return (customers - g["d1"] * tables + (THETA + g["d1"] * g["t1"]) * g["base"]) / (THETA + g["n1"])
+
+
+def _borders(words: np.ndarray, ranges: int) -> np.ndarray:
+    return np.searchsorted((words >> 16) * ranges >> 32, np.arange(ranges + 1))
+
+
+def _context_pass(table: pa.Table, g: dict, hot: dict, turn: int) -> pa.Table:
+    """Reseat the parties of a range (but in turn 0) and tell the words' ranges."""
+    x = _Range(table.to_pylist(), hot, 1)
+    if turn:
+        x.sweep(g, np.random.default_rng([1, turn, x.rng]))
+    words = _unpack(x.words)
+    tables, count = (np.bincount(x.place, weights=y, minlength=len(words)).astype("<u8") for y in (x.tables, x.count))
+    cuts = _borders(words, g["wr"])
+    rows = [_mail(x.rng, k, SENT, x.words[6 * a : 6 * b], tables[a:b].tobytes(), count[a:b].tobytes() if not turn else None) for k, a, b in zip(range(g["wr"]), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]
+    rows.append(_mail(x.rng, -1, TABLES, x.tables[x.count > 1].astype("<u4").tobytes()))
+    own = np.bincount(x.room, weights=x.tables, minlength=len(x.sizes))[x.split].tolist()
+    rows += [_mail(x.rng, -1, HOT, s=[v, t, c]) for (v, _, c), t in zip(x.shares, own, strict=True)]
+    rows.append(_mail(x.rng, -1, SUMS, s=[float((x.count == 1).sum()), float((x.count == 2).sum()), 0.0, 0.0, 0.0, 0.0]))
+    return _table(rows, MAIL)
+
+
+def _word_pass(table: pa.Table, g: dict, turn: int, sampling: bool, last: bool) -> pa.Table:
+    """Reseat the words of a range (but in turn 0) and answer the ranges of pairs.  While
+    ``sampling``, the state before this turn is added to the mean."""
+    rows = table.to_pylist()
+    sent = sorted((r for r in rows if r["kind"] == SENT), key=lambda r: r["rng"])
+    asked, wr = [_unpack(r["a"]) for r in sent], sent[0]["wr"]
+    words, place = np.unique(np.concatenate(asked), return_inverse=True)
+    total = lambda c: np.bincount(place, weights=np.concatenate([_numbers(r[c], "<u8") for r in sent]), minlength=len(words)).astype(np.int64)
+    customers = total("b")
+    if turn:
+        state = next(r for r in rows if r["kind"] == WORDS)
+        before, known, old, mean = (_numbers(state[c], kind) for c, kind in zip("abcd", ("<u8", "<u8", "<u8", "<f8"), strict=True))
+        if sampling:
+            mean = mean + _above(old, before, g)
+        # A party that lost customers keeps no more tables than it has customers.
+        tables = np.clip(before, np.minimum(customers, 1), customers)
+        totals = np.array([g["t1"] + float(tables.sum() - before.sum())])
+        uniform = Parent(np.full(len(words), g["base"]), np.ones(len(words)), np.zeros(len(words), dtype=bool), 0.0, False)
+        sweep(np.zeros(len(words), dtype=np.int64), customers, tables, totals, uniform, Stirling(g["d1"]), THETA, np.random.default_rng([2, turn, wr]))
+    else:
+        known, tables, mean = total("c"), np.minimum(customers, 1), np.zeros(len(words))
+    u8 = lambda x: x.astype("<u8").tobytes()
+    out, edges = [_mail(-1, wr, WORDS, u8(tables), u8(known), u8(customers), mean.tobytes())], np.cumsum([0, *[len(x) for x in asked]]).tolist()
+    for r, a, b in zip(sent, edges[:-1], edges[1:], strict=True):
+        at = place[a:b]
+        out.append(_mail(r["rng"], wr, REPLY, u8(customers[at]), u8(tables[at]), *([u8(known[at]), mean[at].tobytes()] if last else [b"", b""])))
+    out.append(_mail(-1, wr, SUMS, s=[float(f) for f in (known.sum(), (known > 0).sum(), customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum())]))
+    return _table(out, MAIL)
+
+
+def _bound(f: Callable[..., pa.Table], *args) -> Callable[[pa.Table], pa.Table]:
+    return lambda table: f(table, *args)
+
+
+def _sums(mail: DataFrame) -> list[float]:
+    found = mail.where(F.col("kind") == SUMS).agg(*[F.sum(F.col("s")[i]) for i in range(6)]).first()
+    return [x or 0.0 for x in found]
+
+
+SCORED = "rng int, v binary, n binary, words binary, place binary, p binary, c binary"
+
+
+def train(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, dict]:
+    """The averaged log10 P(word | context) of all pairs by range, and the model's numbers."""
+    total, hot_parts = frequent_contexts(docs)
+    g = {"ranges": ranges_of(total), "hot": hot_parts, "wr": 1, "n": 0.0, "v": 0.0, "base": 1.0, "n1": 0.0, "t1": 0.0, "d1": 0.5, "d2": 0.5}
+    pairs = pair_counts(docs, g["ranges"], hot_parts)
+    entries = pairs.agg(F.sum(F.length("words"))).first()[0] or 0
+    g["wr"] = max(4, -(-entries // (6 * WORD_RANGE)))
     nothing = F.lit(None).cast("binary")
-    joined = parts.select("slice", "docs", *VALUES, nothing.alias("ids"), nothing.alias("null"))
-    joined = joined.unionAll(heads.select("slice", "docs", *[nothing] * len(VALUES), "words", "null"))
-    out_schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, open_score double"
+    model = pairs.select("rng", F.lit(-1).alias("wr"), F.lit(PAIR_ROW).alias("kind"), F.col("v").alias("a"), F.col("n").alias("b"), F.col("words").alias("c"), F.col("place").alias("d"), F.col("c").alias("e"), F.lit(None).cast("array<double>").alias("s"))
+    hot: dict = dict.fromkeys(hot_parts)
+    last, up, down = burn_in + samples, None, None
+    for turn in range(last + 1):
+        inputs = model if up is None else model.unionAll(up.where(F.col("kind") == TABLES)).unionAll(down.where(F.col("kind") == REPLY))
+        before = up
+        up = materialize(inputs.groupBy("rng").applyInArrow(_bound(_context_pass, dict(g), dict(hot), turn), MAIL), "lm-contexts")
+        sums = _sums(up)
+        g["d2"] = discount_of(sums[0], sums[1])
+        if hot:
+            found = up.where(F.col("kind") == HOT).groupBy(F.col("s")[0].alias("v")).agg(F.sum(F.col("s")[1]).alias("t"), F.sum(F.col("s")[2]).alias("c")).collect()
+            hot = {**hot, **{int(r["v"]): (r["t"], r["c"]) for r in found}}
+        sent = up.where(F.col("kind") == SENT)
+        inputs = sent if down is None else sent.unionAll(down.where(F.col("kind") == WORDS))
+        old = down
+        down = materialize(inputs.groupBy("wr").applyInArrow(_bound(_word_pass, dict(g), turn, turn - 1 > burn_in, turn == last), MAIL), "lm-words")
+        g["n"], g["v"], g["n1"], g["t1"], once, twice = _sums(down)
+        g["base"], g["d1"] = 1.0 / (g["v"] + 1), discount_of(once, twice)
+        for table in (before, old):
+            if table is not None:
+                discard(table)
+    now, shared = dict(g), dict(hot)
 
     def finish(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        head = next(r for r in rows if r["ids"] is not None)
-        ids, null, sizes = np.frombuffer(head["ids"], dtype="<i8"), np.frombuffer(head["null"], dtype=bool), np.frombuffer(head["docs"], dtype="<u4")
-        sums = np.zeros((len(VALUES), len(ids)))
-        # Added in a fixed order, so that reruns agree to the last digit.
-        for r in sorted((r for r in rows if r["ids"] is None), key=lambda r: (r["docs"], r["base"])):
-            who = np.frombuffer(r["docs"], dtype="<u4")
-            for k, c in enumerate(VALUES):
-                sums[k, who] += np.frombuffer(r[c])
-        doc_ids = [None if z else int(i) for i, z in zip(ids, null, strict=True)]
-        columns = [pa.array(doc_ids, pa.int64()), pa.array([held_out(d) for d in doc_ids]), pa.array(sizes.astype(np.int64)), pa.array(np.rint(sums[3]).astype(np.int64)), pa.array([int(stats["n"])] * len(ids), pa.int64()), *[pa.array(x) for x in sums[:3]]]
-        return pa.table(columns, names=[c.split()[0] for c in out_schema.split(", ")])
-
-    return joined.groupBy("slice").applyInArrow(finish, out_schema)
+        x, p = _Range(table.to_pylist(), shared, samples), 0.0
+        for turn in range(samples):
+            x.sweep(now, np.random.default_rng([3, turn, x.rng]))
+            p = p + x.predictive(now)
+        row = (x.rng, _pack(x.contexts), x.sizes.astype("<u4").tobytes(), x.words, x.place.astype("<u4").tobytes(), (p / samples).astype("<f4").tobytes(), x.known.astype("<u8").tobytes())
+        return _table([row], SCORED)
+
+    inputs = model.unionAll(up.where(F.col("kind") == TABLES)).unionAll(down.where(F.col("kind") == REPLY))
+    scored = materialize(inputs.groupBy("rng").applyInArrow(finish, SCORED), "lm-scored")
+    for table in (pairs, up, down):
+        discard(table)
+    return scored, g
+
+
+# -- scoring ---------------------------------------------------------------------
+POSTS = "rng int, slice bigint, v binary, n binary, w binary, k binary, docs binary, ids binary"
+PARTS = "slice bigint, rng int, docs binary, base binary, score binary, known binary, ids binary"
+SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def _posts(docs: DataFrame, g: dict) -> DataFrame:
+    """Per slice and range the distinct pairs, how often they occur and in which texts.
+    One row of a slice has its doc_ids and sizes."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        key = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part, raw in texts(batch, most=SLICE):
+                s, n = _Slice(raw), len(raw)
+                order = np.argsort(s.pair, kind="stable")  # texts stay in order within a pair
+                who, pair = np.repeat(np.arange(n), s.sizes)[order], s.pair[order]
+                first = np.flatnonzero(np.diff(pair, prepend=-1))
+                k = np.diff(first, append=len(pair))
+                small = "<u2" if n <= 65536 else "<u4"
+                doc_ids = part.column("doc_id").to_pylist()
+                head = np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + s.sizes.astype("<i8").tobytes() + bytes(d is None for d in doc_ids)
+                rows: list[tuple] = [(key % g["ranges"], key, *[None] * 5, head)]
+                for r, mine, names in s.runs(pair[first], g["ranges"], g["hot"]):
+                    ends = np.cumsum(k[mine])
+                    at = np.arange(ends[-1]) + np.repeat(first[mine] - (ends - k[mine]), k[mine])
+                    rows.append((r, key, *names, k[mine].astype("<u4").tobytes(), who[at].astype(small).tobytes(), None))
+                key += 1
+                yield _arrow(rows, POSTS)
+
+    return docs.select("doc_id", "text").mapInArrow(post, POSTS)
+
+
+def _add(posts: pa.Table, scored: pa.Table, g: dict) -> pa.Table:
+    """Sums of one range by text."""
+    rows = []
+    if scored.num_rows:
+        x = scored.to_pylist()[0]
+        contexts, words = _unpack(x["v"]), _unpack(x["words"])
+        c = _numbers(x["c"], "<u8")
+        base, known = np.log10((c + 0.5) / (g["n"] + 0.5 * (g["v"] + 1))), c > 0
+        pairs = np.repeat(np.arange(len(contexts)), _numbers(x["n"])) * len(words) + _numbers(x["place"])
+        score = np.log10(np.maximum(np.frombuffer(x["p"], dtype="<f4").astype(np.float64), 1e-30))
+    for y in posts.to_pylist():
+        if y["ids"] is not None:
+            rows.append((y["slice"], y["rng"], *[None] * 4, y["ids"]))
+            continue
+        k = _numbers(y["k"])
+        v, w = np.repeat(np.searchsorted(contexts, _unpack(y["v"])), _numbers(y["n"])), np.searchsorted(words, _unpack(y["w"]))
+        at = np.searchsorted(pairs, v * len(words) + w)
+        who = np.frombuffer(y["docs"], dtype=f"<u{len(y['docs']) // int(k.sum())}")
+        docs, place = np.unique(who, return_inverse=True)
+        sums = [np.bincount(place, weights=np.repeat(values, k), minlength=len(docs)) for values in (base[w], score[at], known[w])]
+        rows.append((y["slice"], y["rng"], docs.astype("<u4").tobytes(), sums[0].tobytes(), sums[1].tobytes(), sums[2].astype("<u4").tobytes(), None))
+    return _table(rows, PARTS)
+
+
+def _finish(table: pa.Table, g: dict) -> pa.Table:
+    rows = table.to_pylist()
+    head = next(r["ids"] for r in rows if r["ids"] is not None)
+    n = len(head) // 17
+    ids, sizes, null = np.frombuffer(head, "<i8", n), np.frombuffer(head, "<i8", n, 8 * n), np.frombuffer(head, np.uint8, n, 16 * n)
+    sums = np.zeros((3, n))
+    # Added in a fixed order, so that reruns agree to the last digit.
+    for r in sorted((r for r in rows if r["ids"] is None), key=lambda r: r["rng"]):
+        who = np.frombuffer(r["docs"], dtype="<u4")
+        for i, (c, kind) in enumerate((("base", "<f8"), ("score", "<f8"), ("known", "<u4"))):
+            sums[i, who] += np.frombuffer(r[c], dtype=kind)
+    doc_ids = [None if z else int(i) for i, z in zip(ids, null, strict=True)]
+    columns = [pa.array(doc_ids, pa.int64()), pa.array([held_out(d) for d in doc_ids]), pa.array(sizes.astype(np.int64)), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array([int(g["n"])] * n, pa.int64()), pa.array(sums[0]), pa.array(sums[1])]
+    return pa.table(columns, names=[c.split()[0] for c in SCORES.split(", ")])
+
+
+def score_texts(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, waves: int = WAVES) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every
+    document, the model learned from the documents that are not held out."""
+    docs = docs.select("doc_id", "text")
+    scored, g = train(docs, burn_in, samples)
+    out = None
+    for wave in range(waves):
+        mine = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(waves)) == wave)
+        parts = _posts(mine, g).groupBy("rng").cogroup(scored.groupBy("rng")).applyInArrow(lambda a, b: _add(a, b, g), PARTS)
+        part = materialize(parts.groupBy("slice").applyInArrow(lambda t: _finish(t, g), SCORES), "lm-scores")
+        out = part if out is None else out.unionAll(part)
+    discard(scored)
+    return out
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

@@ -299,27 +299,6 @@ def test_licenses(docs, empty):
     assert scan_licenses(empty).count() == 0
 
 
-def test_language_model(docs, empty):
-    from docmill.llm.hpy_lm import Spelling, score_texts, seat
-
-    got, counts = by_id(score_texts(docs)), Counter()
-    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
-    tokens = {d: [*WORD.findall(full(d).translate(LOW)), ""] for d in TEXTS}
-    for d in [*TEXTS, 1]:
-        if not held(d):
-            counts.update(tokens[d])
-    n = sum(counts.values())
-    for d in TEXTS:
-        base = sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (len(counts) + 1))) for w in tokens[d])
-        assert (got[d]["held_out"], got[d]["n_tokens"], got[d]["train_tokens"]) == (held(d), len(tokens[d]), n) and abs(got[d]["base_score"] - base) < 1e-6
-        assert got[d]["score"] < 0 and got[d]["open_score"] <= got[d]["score"] + 1e-6
-    assert score_texts(empty).count() == 0
-    rng = np.random.default_rng(0)
-    assert (seat(np.array([0, 1, 500]), np.full(3, 0.5), np.zeros(3), 0.5, 1.0, rng)[:2] == [0, 1]).all()
-    index, logs = Spelling(np.array([5 * 257 + 97, 5 * 257 + 98]), np.array([10, 3])).average()
-    assert np.allclose((10.0 ** logs.astype(float)).sum(axis=1), 1.0, atol=1e-4) and len(index) == 258 * 256
-
-
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
