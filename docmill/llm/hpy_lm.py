@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,18 +40,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import discard, materialize, texts
+from docmill.llm.common import SPACES, discard, materialize, texts
 
 THETA = 1.0
 BURN_IN, SAMPLES = 2, 2
-RANGE_TOKENS, WORD_RANGE = 4_000_000, 4_000_000
-HOT_TOKENS, HOT_WORDS = 1_000_000, 65_536
+RANGE_TOKENS, WORD_RANGE = 2_000_000, 2_000_000
+HOT_TOKENS, HOT_WORDS, STRIDE = 1_000_000, 65_536, 8
 WAVES = 4
-SLICE = 16_000_000  # bytes of text tokenized at a time
+SLICE = 8_000_000  # bytes of text tokenized at a time
 EXACT = 64  # parties up to this size have their conditional tabulated
 FEW = 12  # tables up to which larger parties' conditionals are corrected to exact ones
 SINGLY = 8  # parties of a restaurant that are reseated one by one
-_END, _START = b"", b" "
 
 
 # -- seating ---------------------------------------------------------------------
@@ -201,8 +199,40 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
+_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+_MASK = np.array([2 ** (8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+LONG = 1024  # bytes from which a word is hashed by itself
+
+
+def word_hashes(flat: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit hashes and starts of the words of ``flat``, all words eight bytes a step."""
+    data = np.frombuffer(flat + b"\n" + bytes(8), dtype=np.uint8)
+    n = len(flat) + 1
+    gap = _SPACE[data[:n]]
+    edges = np.flatnonzero(np.concatenate([~gap[:1], gap[1:] != gap[:-1]]))
+    starts, left = edges[::2], edges[1::2] - edges[::2]
+    window = np.ndarray((n,), dtype="<u8", buffer=data, strides=(1,))
+    h, at = left.astype(np.uint64) * _C2, starts
+    live = np.flatnonzero(left <= LONG)
+    at, left, long = starts[live], left[live], np.flatnonzero(left > LONG)
+    while len(live):
+        x = (h[live] ^ (window[at] & _MASK[np.minimum(left, 8)])) * _C1
+        x = (x ^ (x >> np.uint64(29))) * _C2
+        h[live] = x ^ (x >> np.uint64(32))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i, a, b in zip(long.tolist(), starts[long].tolist(), edges[1::2][long].tolist(), strict=True):
+        h[i] = xxhash.xxh3_64_intdigest(flat[a:b])
+    return (h >> np.uint64(16)).astype(np.int64), starts
+
+
 def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) >> 16
+    return int(word_hashes(word)[0][0])
+
+
+# No word holds a space or is empty, and none is likely to hash to these.
+_END, _START = 1, 2
 
 
 def _pack(h: np.ndarray) -> bytes:
@@ -233,27 +263,16 @@ class _Slice:
     """The tokens of some texts as ranks of their hashes, with the word before each."""
 
     def __init__(self, raw: list[bytes]):
-        code: dict[bytes, int] = {_END: 0, _START: 1}
-        put = code.setdefault
-        ids: list[int] = []
-        sizes = []
-        for t in raw:
-            words = t.lower().split()
-            ids += [put(w, len(code)) for w in words]
-            ids.append(0)
-            sizes.append(len(words) + 1)
-        self.sizes = np.array(sizes, dtype=np.int64)
-        hashes = np.fromiter((word_hash(w) for w in code), dtype=np.int64, count=len(code))
-        del code
-        order = np.argsort(hashes, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        self.hashes = hashes[order]
-        w = rank[np.array(ids, dtype=np.int64)]
-        v = np.empty_like(w)
-        v[1:] = w[:-1]
-        v[(np.cumsum(self.sizes) - self.sizes)] = rank[1]
-        self.pair = v * len(order) + w
+        found, starts = word_hashes(b"\n".join(raw).lower())
+        ends = np.cumsum([len(t) + 1 for t in raw])
+        text = np.searchsorted(ends, starts, side="right")
+        self.sizes = np.bincount(text, minlength=len(raw)) + 1
+        hashes = np.full(int(self.sizes.sum()), _END, dtype=np.int64)
+        hashes[np.arange(len(found)) + text] = found
+        self.hashes, w = np.unique(np.append(hashes, _START), return_inverse=True)
+        v = np.roll(w, 1)
+        v[np.cumsum(self.sizes) - self.sizes] = w[-1]
+        self.pair = (v * len(self.hashes) + w)[:-1]
 
     def runs(self, pairs: np.ndarray, ranges: int, hot: dict[int, int]) -> Iterator[tuple[int, np.ndarray, tuple[bytes, bytes, bytes]]]:
         """(range, places, (contexts, words per context, words)) of sorted distinct pairs."""
@@ -275,18 +294,21 @@ class _Slice:
 
 def frequent_contexts(docs: DataFrame) -> tuple[int, dict[int, int]]:
     """The number of tokens, and the contexts that are split with their number of parts.
-    A slice names only words that hold more than half of the share looked for there, so
+    Splitting moves work, not results, so words are counted by every ``STRIDE``-th of each
+    text.  A slice names only words that hold more than half of the share looked for, so
     what comes together has a fixed largest size per slice."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, raw in texts(batch, most=SLICE):
-                words = Counter(b" ".join(raw).lower().split())
-                total = words.total() + len(raw)
-                some = [(word_hash(w), n) for w, n in words.items() if 2 * HOT_WORDS * n >= total]
-                yield _arrow([(-1, total), (word_hash(_START), len(raw)), *some], "h bigint, n bigint")
-
-    sums = docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+                found, _ = word_hashes(b"\n".join(raw).lower())
+                total = len(found) + len(raw)
+                words, n = np.unique(found[::STRIDE], return_counts=True)
+                some = 2 * HOT_WORDS * STRIDE * n >= total
+                rows = [(-1, total), (_START, len(raw)), *zip(words[some].tolist(), (STRIDE * n[some]).tolist(), strict=True)]
+                yield _arrow(rows, "h bigint, n bigint")
+
+    sums = docs.select("text").mapInArrow(tally, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     sums = materialize(sums, "lm-frequent")
     total = sums.where("h = -1").agg(F.sum("n")).first()[0] or 0
     hot = max(HOT_TOKENS, total // HOT_WORDS)
@@ -522,8 +544,7 @@ def _posts(docs: DataFrame, g: dict) -> DataFrame:
         for batch in batches:
             for part, raw in texts(batch, most=SLICE):
                 s, n = _Slice(raw), len(raw)
-                order = np.argsort(s.pair, kind="stable")  # texts stay in order within a pair
-                who, pair = np.repeat(np.arange(n), s.sizes)[order], s.pair[order]
+                pair, who = _by_pair(s, n)
                 first = np.flatnonzero(np.diff(pair, prepend=-1))
                 k = np.diff(first, append=len(pair))
                 small = "<u2" if n <= 65536 else "<u4"
@@ -540,6 +561,15 @@ def _posts(docs: DataFrame, g: dict) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(post, POSTS)
 
 
+def _by_pair(s: _Slice, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of all tokens in order with their texts; one sort of both where they fit."""
+    who = np.repeat(np.arange(n), s.sizes)
+    if len(s.hashes) ** 2 * n < 2**63:
+        return np.divmod(np.sort(s.pair * n + who), n)
+    order = np.argsort(s.pair, kind="stable")
+    return s.pair[order], who[order]
+
+
 def _add(posts: pa.Table, scored: pa.Table, g: dict) -> pa.Table:
     """Sums of one range by text."""
     rows = []
