@@ -44,10 +44,10 @@ from docmill.llm.common import SPACES, discard, materialize, texts
 
 THETA = 1.0
 BURN_IN, SAMPLES = 2, 2
-RANGE_TOKENS, WORD_RANGE = 2_000_000, 2_000_000
-HOT_TOKENS, HOT_WORDS, STRIDE = 1_000_000, 65_536, 8
+RANGE_TOKENS, WORD_RANGE = 1_000_000, 1_000_000
+HOT_TOKENS, HOT_WORDS, STRIDE = 250_000, 65_536, 8
 WAVES = 4
-SLICE = 8_000_000  # bytes of text tokenized at a time
+SLICE = 4_000_000  # bytes of text tokenized at a time
 EXACT = 64  # parties up to this size have their conditional tabulated
 FEW = 12  # tables up to which larger parties' conditionals are corrected to exact ones
 SINGLY = 8  # parties of a restaurant that are reseated one by one
@@ -590,7 +590,7 @@ def _add(posts: pa.Table, scored: pa.Table, g: dict) -> pa.Table:
         who = np.frombuffer(y["docs"], dtype=f"<u{len(y['docs']) // int(k.sum())}")
         docs, place = np.unique(who, return_inverse=True)
         sums = [np.bincount(place, weights=np.repeat(values, k), minlength=len(docs)) for values in (base[w], score[at], known[w])]
-        rows.append((y["slice"], y["rng"], docs.astype("<u4").tobytes(), sums[0].tobytes(), sums[1].tobytes(), sums[2].astype("<u4").tobytes(), None))
+        rows.append((y["slice"], y["rng"], docs.astype("<u4").tobytes(), sums[0].tobytes(), sums[1].astype("<f4").tobytes(), sums[2].astype("<u4").tobytes(), None))
     return _table(rows, PARTS)
 
 
@@ -603,7 +603,7 @@ def _finish(table: pa.Table, g: dict) -> pa.Table:
     # Added in a fixed order, so that reruns agree to the last digit.
     for r in sorted((r for r in rows if r["ids"] is None), key=lambda r: r["rng"]):
         who = np.frombuffer(r["docs"], dtype="<u4")
-        for i, (c, kind) in enumerate((("base", "<f8"), ("score", "<f8"), ("known", "<u4"))):
+        for i, (c, kind) in enumerate((("base", "<f8"), ("score", "<f4"), ("known", "<u4"))):
             sums[i, who] += np.frombuffer(r[c], dtype=kind)
     doc_ids = [None if z else int(i) for i, z in zip(ids, null, strict=True)]
     columns = [pa.array(doc_ids, pa.int64()), pa.array([held_out(d) for d in doc_ids]), pa.array(sizes.astype(np.int64)), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array([int(g["n"])] * n, pa.int64()), pa.array(sums[0]), pa.array(sums[1])]
