@@ -365,6 +365,8 @@ def _(a, c):
 
 @op("arrayToObject")
 def _(a, c):
+    if isinstance(a, (list, tuple)) and len(a) == 1 and isinstance(c.element(a), T.ArrayType) and isinstance(c.element(a).elementType, (T.ArrayType, T.StructType)):
+        a = a[0]  # an argument list of one literal array
     dtype = c.element(a)
     if isinstance(dtype, T.ArrayType):
         return F.map_from_arrays(F.transform(c(a), lambda e: F.get(e, F.lit(0)).cast("string")), F.transform(c(a), lambda e: F.get(e, F.lit(1))))

@@ -1,14 +1,16 @@
-"""Compiler from filter documents to two-valued boolean columns.
+"""Compiler from filter documents to boolean columns.
 
-Every leaf is wrapped so that it is true or false, never null: negation then keeps
-rows whose field is missing, as filters on documents demand.  Predicates on arrays
-match if any element matches.  Plain comparisons stay plain, so that they are pushed
-down to the scan.
+A predicate on a missing field is false.  Below ``and`` and ``or`` a null does as well
+as false, so comparisons stay plain there and reach the scan; only what is negated, and
+what :func:`compile_match` gives to others, is made two-valued.  Predicates on arrays
+match if any element matches.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import math
+import operator
 import re
 from collections.abc import Callable
 
@@ -24,6 +26,11 @@ EARTH_KM = 6371.0
 
 def compile_match(spec: dict, scope: Scope) -> Column:
     """A filter document as a column without nulls."""
+    return _sure(compile_filter(spec, scope))
+
+
+def compile_filter(spec: dict, scope: Scope) -> Column:
+    """A filter document as a column for ``where``: null where it is not true."""
     out: Column | None = None
     for key, value in spec.items():
         term = _top(key, value, scope)
@@ -33,16 +40,15 @@ def compile_match(spec: dict, scope: Scope) -> Column:
 
 def _top(key: str, value, scope: Scope) -> Column:
     if key in ("$and", "$or", "$nor"):
-        terms = [compile_match(v, scope) for v in value]
+        terms = [compile_filter(v, scope) for v in value]
         out = terms[0]
         for t in terms[1:]:
             out = out & t if key == "$and" else out | t
-        return ~out if key == "$nor" else out
+        return ~_sure(out) if key == "$nor" else out
     if key == "$not":
         return ~compile_match(value, scope)
     if key == "$expr":
-        column = compile_expr(value, scope)
-        return truthy(column, scope.type_of(column))
+        return _expr(value, scope)
     if key == "$jsonSchema":
         from docmill.functions.json_schema import compile_schema
 
@@ -60,11 +66,42 @@ def _top(key: str, value, scope: Scope) -> Column:
     if key.startswith("$"):
         raise UnsupportedOperator(f"unknown query operator {key}")
     column, dtype = resolve(key, scope)
-    return field_predicate(column, dtype, value, scope)
+    return _field(column, dtype, value, scope)
+
+
+def _constant(spec) -> bool:
+    return isinstance(spec, (bool, int, float, dt.date)) or (isinstance(spec, str) and not spec.startswith("$"))
+
+
+def _expr(spec, scope: Scope) -> Column:
+    """An expression as a filter.  Comparisons with a constant, in which null sorts
+    before every value, reduce to plain ones that the scan can use."""
+    if isinstance(spec, dict) and len(spec) == 1:
+        (name, arg), = spec.items()
+        if name == "$and" and isinstance(arg, (list, tuple)) and arg:
+            return _fold_all([_expr(a, scope) for a in arg])
+        if name in _PLAIN and isinstance(arg, (list, tuple)) and len(arg) == 2 and _constant(arg[0]) != _constant(arg[1]):
+            if _constant(arg[0]):
+                name, arg = _TURNED[name], (arg[1], arg[0])
+            column = compile_expr(arg[0], scope)
+            dtype = scope.type_of(column)
+            if dtype is not None and _comparable(dtype, arg[1]):
+                plain = _PLAIN[name](column, _as(dtype, arg[1]))
+                return plain | column.isNull() if name in ("$lt", "$lte") else plain
+    column = compile_expr(spec, scope)
+    return truthy(column, scope.type_of(column))
+
+
+_PLAIN = {"$eq": operator.eq, "$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}
+_TURNED = {"$eq": "$eq", "$gt": "$lt", "$gte": "$lte", "$lt": "$gt", "$lte": "$gte"}
 
 
 def field_predicate(column: Column, dtype: T.DataType | None, value, scope: Scope) -> Column:
-    """The conjunction of all operators on one field, or equality with a value."""
+    """All operators on one field, or equality with a value, without nulls."""
+    return _sure(_field(column, dtype, value, scope))
+
+
+def _field(column: Column, dtype: T.DataType | None, value, scope: Scope) -> Column:
     if not (isinstance(value, dict) and value and all(k.startswith("$") for k in value)):
         if isinstance(value, re.Pattern):
             value = {"$regex": value}
@@ -88,7 +125,7 @@ def _sure(p: Column) -> Column:
 def _any(column: Column, dtype: T.DataType | None, leaf: Callable[[Column, T.DataType | None], Column]) -> Column:
     """``leaf`` on a scalar, or on any element of an array (of arrays)."""
     if isinstance(dtype, T.ArrayType):
-        return _sure(F.exists(column, lambda x: _any(x, dtype.elementType, leaf)))
+        return F.exists(column, lambda x: _any(x, dtype.elementType, leaf))
     return leaf(column, dtype)
 
 
@@ -124,7 +161,7 @@ def _equal(column: Column, dtype: T.DataType | None, value) -> Column:
         for k, v in value.items():
             same = same & (_equal(column.getField(k), dtype[k].dataType, v) if k in dtype.fieldNames() else F.lit(False))
         return _sure(same)
-    leaf = lambda x, t: _sure(x == _as(t, value)) if _comparable(t, value) else F.lit(False)
+    leaf = lambda x, t: x == _as(t, value) if _comparable(t, value) else F.lit(False)
     return _any(column, dtype, leaf)
 
 
@@ -132,7 +169,7 @@ def _comparison(compare: Callable[[Column, Column], Column]) -> Callable:
     def run(column, dtype, arg, whole, scope):
         if arg is None:
             return F.lit(False)
-        return _any(column, dtype, lambda x, t: _sure(compare(x, _as(t, arg))) if _comparable(t, arg) else F.lit(False))
+        return _any(column, dtype, lambda x, t: compare(x, _as(t, arg)) if _comparable(t, arg) else F.lit(False))
 
     return run
 
@@ -140,7 +177,7 @@ def _comparison(compare: Callable[[Column, Column], Column]) -> Callable:
 def _in(column, dtype, arg, whole, scope) -> Column:
     if not isinstance(dtype, (T.ArrayType, T.StructType, T.VariantType)) and not any(isinstance(v, (re.Pattern, dict, list)) for v in arg):
         some = [v for v in arg if v is not None and _comparable(dtype, v)]
-        found = _sure(column.isin(*[_as(dtype, v) for v in some])) if some else F.lit(False)
+        found = column.isin(*[_as(dtype, v) for v in some]) if some else F.lit(False)
         return found | column.isNull() if None in arg else found
     out = F.lit(False)
     for v in arg:
@@ -153,7 +190,7 @@ def _regex(column, dtype, arg, whole, scope) -> Column:
         flags = "".join(f for f, bit in (("i", re.I), ("m", re.M), ("s", re.S), ("x", re.X)) if arg.flags & bit)
         arg = _flags(flags) + arg.pattern
     pattern = _flags(whole.get("$options")) + arg
-    return _any(column, dtype, lambda x, t: _sure(x.rlike(pattern)) if isinstance(t, T.StringType) or t is None else F.lit(False))
+    return _any(column, dtype, lambda x, t: x.rlike(pattern) if isinstance(t, T.StringType) or t is None else F.lit(False))
 
 
 # Numeric ids of the document type names.
@@ -200,13 +237,13 @@ def _match_document(x: Column, dtype: T.DataType, spec: dict, scope: Scope) -> C
             term = terms[0]
             for t in terms[1:]:
                 term = term & t if key == "$and" else term | t
-            out = out & (~term if key == "$nor" else term)
+            out = out & (~_sure(term) if key == "$nor" else term)
         else:
             column, kind = x, dtype
             for name in key.split("."):
                 column, kind = _child(column, kind, name)
             out = out & field_predicate(column, kind, value, scope)
-    return out
+    return _sure(out)
 
 
 def _mask(arg) -> int:
@@ -305,15 +342,15 @@ def _not(column, dtype, arg, whole, scope) -> Column:
 IGNORED = {"$comment", "$options", "$meta", "$slice", "$natural", "$maxDistance", "$minDistance"}
 PREDICATES: dict[str, Callable[..., Column]] = {
     "$eq": lambda c, t, a, w, s: _equal(c, t, a),
-    "$ne": lambda c, t, a, w, s: ~_equal(c, t, a),
+    "$ne": lambda c, t, a, w, s: ~_sure(_equal(c, t, a)),
     "$gt": _comparison(lambda x, y: x > y),
     "$gte": _comparison(lambda x, y: x >= y),
     "$lt": _comparison(lambda x, y: x < y),
     "$lte": _comparison(lambda x, y: x <= y),
     "$in": _in,
-    "$nin": lambda c, t, a, w, s: ~_in(c, t, a, w, s),
+    "$nin": lambda c, t, a, w, s: ~_sure(_in(c, t, a, w, s)),
     "$not": _not,
-    "$and": lambda c, t, a, w, s: _fold_all([field_predicate(c, t, x, s) for x in a]),
+    "$and": lambda c, t, a, w, s: _fold_all([_field(c, t, x, s) for x in a]),
     "$exists": lambda c, t, a, w, s: c.isNotNull() if a else c.isNull(),
     "$type": _type,
     "$mod": lambda c, t, a, w, s: _any(c, t, lambda x, k: _sure(x.cast("bigint") % int(a[0]) == int(a[1])) if isinstance(k, T.NumericType) else F.lit(False)),
@@ -336,8 +373,8 @@ PREDICATES: dict[str, Callable[..., Column]] = {
 
 
 def _fold_all(terms: list[Column]) -> Column:
-    out = F.lit(True)
-    for t in terms:
+    out = terms[0] if terms else F.lit(True)
+    for t in terms[1:]:
         out = out & t
     return out
 

@@ -58,7 +58,8 @@ def densify(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
 def fill(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     scope, sort = ctx.scope(df), spec.get("sortBy") or {}
     by = [compile_expr(spec["partitionBy"], scope)] if spec.get("partitionBy") is not None else [F.col(f) for f in spec.get("partitionByFields", [])]
-    w = W.partitionBy(*by).orderBy(*sort_columns(sort, scope)) if sort else None
+    along = lambda keys: W.partitionBy(*by).orderBy(*sort_columns(keys, scope)) if sort else None
+    w, back = along(sort), along({k: -way for k, way in sort.items()})
     out = {}
     for field, how in spec["output"].items():
         x = F.col(field)
@@ -74,7 +75,7 @@ def fill(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
             key = next(iter(sort))
             time = isinstance(df.schema[key].dataType, (T.TimestampType, T.TimestampNTZType))
             k = F.unix_micros(F.col(key).cast("timestamp")) / 1_000_000 if time else F.col(key).cast("double")
-            out[field] = linear_fill(x, k, w)
+            out[field] = linear_fill(x, k, w, back)
         else:
             raise UnsupportedOperator(f"$fill method {how['method']}")
     return df.withColumns(out)

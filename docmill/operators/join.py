@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from docmill.functions.expr import compile_expr
 from docmill.functions.paths import resolve, set_path
-from docmill.functions.predicates import compile_match
+from docmill.functions.predicates import compile_filter
 from docmill.operators.base import Context, run_pipeline, stage
 from docmill.storage import materialize
 
@@ -104,7 +104,7 @@ def _lookup_pipeline(df: DataFrame, foreign: DataFrame, name: str, spec: dict, c
     free = [t for t in terms if not _mentions(t, names)]
     tied = [t for t in terms if _mentions(t, names)]
     for t in free:
-        foreign = foreign.where(compile_match(t, inner.scope(foreign)))
+        foreign = foreign.where(compile_filter(t, inner.scope(foreign)))
     rows = df.withColumn("__row", F.monotonically_increasing_id()).withColumns({f"__let_{k}": v for k, v in let.items()})
     outer = rows.select("__row", *[f"__let_{k}" for k in let]).alias("o")
     inside = foreign.select(*[F.col(f"`{c}`") for c in foreign.columns])
@@ -117,7 +117,7 @@ def _lookup_pipeline(df: DataFrame, foreign: DataFrame, name: str, spec: dict, c
         condition = condition & compile_expr(mine, scope).eqNullSafe(compile_expr(other, scope))
     for t in tied:
         if not any(t is k for k, _ in keys):
-            condition = condition & compile_match(t, scope)
+            condition = condition & compile_filter(t, scope)
     joined = outer.join(inside, condition)
     rest = pipeline[1:] if pipeline and "$match" in pipeline[0] else pipeline
     joined = _per_row(joined, rest, list(foreign.columns), names, inner, rows)
@@ -184,7 +184,7 @@ def graph_lookup(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     """
     _, foreign = _from(spec, ctx)
     if spec.get("restrictSearchWithMatch"):
-        foreign = foreign.where(compile_match(spec["restrictSearchWithMatch"], ctx.scope(foreign)))
+        foreign = foreign.where(compile_filter(spec["restrictSearchWithMatch"], ctx.scope(foreign)))
     fscope = ctx.scope(foreign)
     to, (follow, kind) = resolve(spec["connectToField"], fscope)[0], resolve(spec["connectFromField"], fscope)
     follow = follow if isinstance(kind, T.ArrayType) else F.array(follow)

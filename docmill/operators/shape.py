@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from docmill.functions.expr import compile_expr
 from docmill.functions.paths import UnsupportedOperator, drop_path, resolve, set_path
-from docmill.functions.predicates import collated, compile_match, haversine_km, point_of
+from docmill.functions.predicates import collated, compile_filter, haversine_km, point_of
 from docmill.operators.base import Context, sort_columns, stage
 
 
@@ -16,9 +16,9 @@ from docmill.operators.base import Context, sort_columns, stage
 def match(df: DataFrame, spec, ctx: Context) -> DataFrame:
     if ctx.collation:
         names, seen = df.columns, collated(df, ctx.collation)
-        kept = seen.where(compile_match(spec, ctx.scope(seen)))
+        kept = seen.where(compile_filter(spec, ctx.scope(seen)))
         return kept.select(*[F.collate(F.col(f"`{n}`"), "UTF8_BINARY").alias(n) if isinstance(df.schema[n].dataType, T.StringType) else F.col(f"`{n}`") for n in names])
-    return df.where(compile_match(spec, ctx.scope(df)))
+    return df.where(compile_filter(spec, ctx.scope(df)))
 
 
 def _plain(v) -> bool:
@@ -169,7 +169,7 @@ def geo_near(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     column, dtype = resolve(key, ctx.scope(df))
     distance = haversine_km(*point_of(column, dtype), float(lon), float(lat))
     field = spec.get("distanceField", "distance")
-    out = df.where(compile_match(spec.get("query", {}), ctx.scope(df))) if spec.get("query") else df
+    out = df.where(compile_filter(spec.get("query", {}), ctx.scope(df))) if spec.get("query") else df
     out = out.withColumn("__d", distance).where(F.col("__d").isNotNull())
     for name, keep in (("maxDistance", F.col("__d") <= spec.get("maxDistance", 0)), ("minDistance", F.col("__d") >= spec.get("minDistance", 0))):
         if spec.get(name) is not None:

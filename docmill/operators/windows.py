@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from docmill.functions.accumulators import order_of
 from docmill.functions.expr import compile_expr, nearest_rank
 from docmill.functions.paths import UnsupportedOperator, set_path
 from docmill.operators.base import Context, sort_columns, stage
+from docmill.storage import on_workers
 
 # Seconds of the fixed-length time units.
 SECONDS = {"week": 604800, "day": 86400, "hour": 3600, "minute": 60, "second": 1, "millisecond": 0.001}
@@ -37,6 +41,7 @@ class _Frame:
         self.keys = [compile_expr(by, self.scope)] if by is not None else []
         base = W.partitionBy(*self.keys)
         self.ordered = base.orderBy(*sort_columns(self.sort, self.scope)) if self.sort else base
+        self.reversed = base.orderBy(*sort_columns({k: -way for k, way in self.sort.items()}, self.scope)) if self.sort else base
         self.key = order_of(self.sort, self.scope)[0][0] if self.sort else None
         self.time = self.key is not None and isinstance(self.scope.type_of(self.key), _TIMES)
         self.window = window
@@ -106,21 +111,35 @@ def _integral(f: _Frame, arg: dict) -> Column:
     return F.aggregate(pairs, start, step, lambda a: a["s"]) / _unit(arg)
 
 
-def _moving_average(f: _Frame, arg: dict) -> Column:
-    """Exponential moving average; a null gives null and leaves the state alone."""
-    alpha = arg["alpha"] if "alpha" in arg else 2.0 / (arg["N"] + 1)
-    x = compile_expr(arg["input"], f.scope).cast("double")
-    seen = F.transform(F.collect_list(F.struct(x.alias("v"))).over(f.ordered.rowsBetween(W.unboundedPreceding, 0)), lambda e: e["v"])
-    average = F.aggregate(seen, F.lit(None).cast("double"), lambda s, v: F.when(v.isNull(), s).when(s.isNull(), v).otherwise(v * alpha + s * (1 - alpha)))
-    return F.when(x.isNotNull(), average)
-
-
-def linear_fill(x: Column, k: Column, w: WindowSpec) -> Column:
-    """Linear interpolation of nulls between their neighbours; ends stay null."""
-    past, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+def moving_average(df: DataFrame, field: str, x: Column, w: WindowSpec, alpha: float) -> DataFrame:
+    """``field``: exponential moving average of ``x`` along ``w``, in one pass over the
+    sorted rows; a null gives null and leaves the state alone."""
+    on_workers(df.sparkSession)
+    kept = [c for c in df.columns if c != field]
+    marked = df.select(*[F.col(f"`{c}`") for c in kept], x.alias("__x"), (F.row_number().over(w) == 1).alias("__new"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            out = []
+            for value, new in zip(batch.column("__x").to_pylist(), batch.column("__new").to_pylist(), strict=True):
+                if new:
+                    state = None
+                if value is not None:
+                    state = value if state is None else value * alpha + state * (1 - alpha)
+                out.append(None if value is None else state)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], pa.array(out, pa.float64())], [*kept, field])
+
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(field, T.DoubleType())])
+    return marked.mapInArrow(run, schema)
+
+
+def linear_fill(x: Column, k: Column, w: WindowSpec, back: WindowSpec) -> Column:
+    """Linear interpolation of nulls between their neighbours; ends stay null.  ``back``
+    is ``w`` in reverse, so that both neighbours come from running frames."""
     known = F.when(x.isNotNull(), k)
-    x0, x1 = F.last(x, ignorenulls=True).over(past).cast("double"), F.first(x, ignorenulls=True).over(ahead).cast("double")
-    k0, k1 = F.last(known, ignorenulls=True).over(past), F.first(known, ignorenulls=True).over(ahead)
+    last = lambda c, v: F.last(c, ignorenulls=True).over(v.rowsBetween(W.unboundedPreceding, 0))
+    x0, x1, k0, k1 = last(x.cast("double"), w), last(x.cast("double"), back), last(known, w), last(known, back)
     between = F.when(k1 == k0, x0).otherwise(x0 + (x1 - x0) * (k - k0) / (k1 - k0))
     return F.coalesce(x.cast("double"), between)
 
@@ -144,8 +163,8 @@ def _output(f: _Frame, name: str, arg) -> Column:
         return F.slice(values, F.lit(1), n) if name == "$firstN" else F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), n)
     if name in ("$covariancePop", "$covarianceSamp"):
         return (F.covar_pop if name.endswith("Pop") else F.covar_samp)(*[compile_expr(a, f.scope).cast("double") for a in arg]).over(f.frame)
-    if name in ("$derivative", "$integral", "$expMovingAvg"):
-        return {"$derivative": _derivative, "$integral": _integral, "$expMovingAvg": _moving_average}[name](f, arg)
+    if name in ("$derivative", "$integral"):
+        return (_derivative if name == "$derivative" else _integral)(f, arg)
     if name in ("$median", "$percentile"):
         values = f.values(compile_expr(arg["input"], f.scope))
         return nearest_rank(values, F.lit(0.5)) if name == "$median" else F.transform(F.array(*[F.lit(float(p)) for p in arg["p"]]), lambda p: nearest_rank(values, p))
@@ -153,7 +172,7 @@ def _output(f: _Frame, name: str, arg) -> Column:
     if name == "$locf":
         return F.last(x, ignorenulls=True).over(f.ordered.rowsBetween(W.unboundedPreceding, 0))
     if name == "$linearFill":
-        return linear_fill(x, f.number(), f.ordered)
+        return linear_fill(x, f.number(), f.ordered, f.reversed)
     if name == "$push":
         return f.values(x)
     if name == "$addToSet":
@@ -169,13 +188,20 @@ def _output(f: _Frame, name: str, arg) -> Column:
 @stage("setWindowFields")
 def set_window_fields(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     """Outputs of one frame share a window; all share one shuffle by the partition."""
-    out = {}
+    out, averages = {}, {}
     for field, how in spec["output"].items():
         (name, arg), *more = [(k, v) for k, v in how.items() if k != "window"]
         if more:
             raise UnsupportedOperator("an output has one window function")
+        if name == "$expMovingAvg":
+            averages[field] = arg
+            continue
         out[field] = _output(_Frame(df, spec, how.get("window"), ctx), name, arg)
     flat = {k: v for k, v in out.items() if "." not in k}
+    for field, arg in averages.items():
+        f = _Frame(df, spec, None, ctx)
+        alpha = arg["alpha"] if "alpha" in arg else 2.0 / (arg["N"] + 1)
+        df = moving_average(df, field, compile_expr(arg["input"], f.scope).cast("double"), f.ordered, alpha)
     result = df.withColumns(flat)
     for k, v in out.items():
         if "." in k:

@@ -292,7 +292,7 @@ def _(c):
 def _word_counts(row: dict):
     import re
 
-    return [(w, 1) for w in re.findall("[^ \n]+", row["text"])]
+    return [(w, 1) for w in re.findall("[^ \n]+", row["text"] or "")]
 
 
 def _add_up(key, values):

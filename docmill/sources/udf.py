@@ -54,8 +54,9 @@ def map_reduce(df: DataFrame, mapper: Callable[[dict], Iterable[tuple]], reducer
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             groups: dict = {}
-            for row in batch.to_dict("records"):
-                for k, v in mapper(row):
+            columns = [c.tolist() for _, c in batch.items()]
+            for row in zip(*columns, strict=True):
+                for k, v in mapper(dict(zip(batch.columns, row, strict=True))):
                     groups.setdefault(k, []).append(v)
             yield pd.DataFrame([(k, vs[0] if len(vs) == 1 else reducer(k, vs)) for k, vs in groups.items()], columns=[key, value])
 

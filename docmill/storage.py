@@ -20,10 +20,11 @@ def on_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a session without it (a local one) gets a
-    temporary folder."""
+    """``spark.checkpoint.dir``; only a local session without it gets a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="docmill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/tables-{spark.sparkContext.applicationId}"

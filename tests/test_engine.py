@@ -146,3 +146,44 @@ def test_stream_of_changes(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r["fullDocument"]["_id"] for r in spark.table("seen").collect()] == [3]
+
+
+@pytest.mark.parametrize(
+    ("filter_", "pushed"),
+    [
+        ({"a": {"$gt": 5}}, "GreaterThan(a,5)"), ({"a": 5}, "EqualTo(a,5)"), ({"a": {"$in": [5, 7]}}, "In(a, [5,7])"), ({"a": None}, "IsNull(a)"), ({"a": {"$ne": None}}, "IsNotNull(a)"),
+        ({"$or": [{"a": {"$lte": 5}}, {"s": "b"}]}, "Or(LessThanOrEqual(a,5),EqualTo(s,b))"), ({"$expr": {"$gte": ["$a", 6]}}, "GreaterThanOrEqual(a,6)"),
+        ({"$expr": {"$and": [{"$lt": [5, "$a"]}, {"$eq": ["$s", "b"]}]}}, "EqualTo(s,b)"), ({"$expr": {"$lt": ["$a", 6]}}, "Or(LessThan(a,6),IsNull(a))"),
+    ],
+)
+def test_filters_reach_the_scan(spark, items, tmp_path, filter_, pushed):
+    items.select("_id", "a", "s").write.parquet(str(tmp_path / "t"))
+    out = aggregate(spark.read.parquet(str(tmp_path / "t")), [{"$match": filter_}])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert pushed in plan[plan.index("PushedFilters") :], plan
+    assert sorted(r["_id"] for r in out.collect()) == sorted(r["_id"] for r in aggregate(items, [{"$match": filter_}]).collect())
+
+
+def test_expression_filters_order_null_first(items):
+    ids = lambda spec: sorted(r["_id"] for r in aggregate(items, [{"$match": {"$expr": spec}}]).collect())
+    assert ids({"$lt": ["$a", 6]}) == [1, 2, 4] and ids({"$gt": [6, "$a"]}) == [1, 2, 4] and ids({"$gte": ["$a", 6]}) == [3]
+    assert ids({"$not": [{"$lt": ["$a", 6]}]}) == [3] and ids({"$eq": ["$a", 5]}) == [1, 4] and ids({"$and": [{"$lte": ["$a", 5]}, {"$ne": ["$s", "b"]}]}) == [1, 4]
+
+
+def test_series_in_partitions_keep_other_columns(spark):
+    df = from_documents(spark, [{"k": k, "x": i, "v": float(i * 10 + k), "o": {"p": [k]}} for k in (0, 1, 2) for i in range(4)])
+    out = aggregate(df, [{"$setWindowFields": {"partitionBy": "$k", "sortBy": {"x": 1}, "output": {"e": {"$expMovingAvg": {"input": "$v", "N": 3}}}}}])
+    want = {}
+    for k in (0, 1, 2):
+        state = None
+        for i in range(4):
+            state = i * 10 + k if state is None else (i * 10 + k) * 0.5 + state * 0.5
+            want[k, i] = (state, [k])
+    assert {(r["k"], r["x"]): (r["e"], r["o"]["p"]) for r in out.collect()} == want
+
+
+def test_array_to_object_and_empty_aggregates(items):
+    out = aggregate(items, [{"$project": {"o": {"$arrayToObject": [[{"k": "a", "v": 1}]]}, "p": {"$arrayToObject": {"$literal": [["x", "y"]]}}}}]).first()
+    assert (out["o"], out["p"]) == ({"a": 1}, {"x": "y"})
+    got = jdql.run("SELECT MIN(a) AS lo, MAX(a) AS hi, COUNT(a) AS n FROM x WHERE a > 100", items).first()
+    assert (got["lo"], got["hi"], got["n"]) == (0.0, 0.0, 0)
