@@ -325,7 +325,7 @@ def update(df: DataFrame, filter_: dict, spec: dict, array_filters: list[dict] |
         marked = _numbered(df, filter_, sort or {}).withColumn("__hit", F.coalesce(F.col("__n") == 1, F.lit(False))).drop("__n")
     inserted = None
     if upsert and marked.where("__hit").isEmpty():
-        row = {k: v for k, v in filter_.items() if not k.startswith("$") and not isinstance(v, dict)}
+        row = _equalities(filter_)
         for op in ("$set", "$setOnInsert", "$inc"):
             row.update(spec.get(op, {}))
         inserted = df.sparkSession.range(1).select(*[literal(v).cast(df.schema[k].dataType).alias(k) if k in df.columns else literal(v).alias(k) for k, v in row.items()])
@@ -351,20 +351,58 @@ def update(df: DataFrame, filter_: dict, spec: dict, array_filters: list[dict] |
     return out.unionByName(inserted, allowMissingColumns=True) if inserted is not None else out
 
 
-def bulk_write(df: DataFrame, operations: list[tuple]) -> DataFrame:
-    """("insert", DataFrame) | ("update", filter, spec) | ("delete", filter) in order."""
+def _equalities(filter_: dict) -> dict:
+    """The fields that a filter fixes to one value."""
+    out: dict = {}
+    for k, v in filter_.items():
+        if k == "$and":
+            for part in v:
+                out.update(_equalities(part))
+        elif not k.startswith("$"):
+            if not isinstance(v, dict):
+                out[k] = v
+            elif set(v) == {"$eq"}:
+                out[k] = v["$eq"]
+    return out
+
+
+def bulk_write(df: DataFrame, operations: list[tuple], ordered: bool = True) -> DataFrame:
+    """Operations in order: ("insert", DataFrame), ("update" or "update_many", filter, spec),
+    ("update_one", filter, spec), ("replace_one", filter, document), ("delete" or
+    "delete_many", filter), ("delete_one", filter).  A last {"upsert": True, "sort": {..},
+    "array_filters": [..]} may follow.  An ordered write stops at an operation that is
+    refused; an unordered one runs the others first and then raises the first refusal."""
+    refused: Exception | None = None
     for kind, *args in operations:
-        if kind == "insert":
-            df = df.unionByName(args[0], allowMissingColumns=True)
-        elif kind == "update":
-            df = update(df, *args)
-        elif kind == "delete":
-            df = df.where(~compile_match(args[0], Scope(df)))
-        else:
-            raise UnsupportedOperator(f"bulk operation {kind}")
+        try:
+            df = _write(df, kind, args)
+        except (UnsupportedOperator, ValueError) as e:
+            if ordered:
+                raise
+            refused = refused or e
+    if refused is not None:
+        refused.collection = df
+        raise refused
     return df
 
 
+def _write(df: DataFrame, kind: str, args: list) -> DataFrame:
+    if kind == "insert":
+        return df.unionByName(args[0], allowMissingColumns=True)
+    if kind in ("delete", "delete_many"):
+        return df.where(~compile_match(args[0], Scope(df)))
+    options = args[-1] if len(args) > (1 if kind == "delete_one" else 2) else {}
+    if kind == "delete_one":
+        return _numbered(df, args[0], options.get("sort", {})).where("__n is null or __n > 1").drop("__n")
+    if kind in ("update", "update_many", "update_one"):
+        return update(df, args[0], args[1], options.get("array_filters"), kind != "update_one", options.get("upsert", False), options.get("sort"))
+    if kind == "replace_one":
+        keep = _equalities(args[0])
+        document = {**{c: None for c in df.columns if c != "_id" and c not in keep}, **args[1]}
+        return update(df, args[0], {"$set": document}, multi=False, upsert=options.get("upsert", False), sort=options.get("sort"))
+    raise UnsupportedOperator(f"bulk operation {kind}")
+
+
 def dereference(df: DataFrame, field: str, target: DataFrame, key: str = "_id", alias: str | None = None) -> DataFrame:
     """Follow a reference: the referred document under ``alias`` (default the field)."""
     doc = target.select(F.col(key).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in target.columns]).alias("__doc"))

@@ -24,10 +24,14 @@ _SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import docmill.plans.families  # noqa: F401 - registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import docmill.plans.families  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -118,7 +122,7 @@ pipe("match_array", "embeddings", [{"$match": {"embedding": {"$elemMatch": {"$gt
 pipe("project_nested", "supplier", [{"$project": {"s_suppkey": 1, "who.name": "$s_name", "who.at.nation": "$s_nationkey"}}, {"$project": {"s_suppkey": 1, "n": "$who.at.nation", "m": {"$toUpper": "$who.name"}}}], "select s_suppkey, s_nationkey n, upper(s_name) m from supplier")
 pipe("add_fields_unset", "nation", [{"$addFields": {"tag": {"$concat": ["$n_name", "-", {"$toString": "$n_regionkey"}]}, "twice": {"$multiply": ["$n_nationkey", 2]}}}, {"$unset": ["n_regionkey"]}], "select n_nationkey, n_name, n_name || '-' || n_regionkey tag, n_nationkey * 2 twice from nation")
 pipe("replace_root", "region", [{"$replaceRoot": {"newRoot": {"k": "$r_regionkey", "v": {"$strLenCP": "$r_name"}}}}], "select r_regionkey k, cast(length(r_name) as int) v from region")
-pipe("unwind_words", "documents", [{"$project": {"doc_id": 1, "w": {"$split": ["$text", " "]}}}, {"$unwind": {"path": "$w", "includeArrayIndex": "i"}}, {"$match": {"i": {"$lt": 2}}}], "select doc_id, unnest(string_split(text, ' ')[1:2]) w, cast(unnest(range(least(2, len(string_split(text, ' '))))) as bigint) i from documents")
+pipe("unwind_words", "documents", [{"$project": {"doc_id": 1, "w": {"$split": ["$text", " "]}}}, {"$unwind": {"path": "$w", "includeArrayIndex": "i"}}], "select doc_id, unnest(string_split(text, ' ')) w, cast(unnest(range(len(string_split(text, ' ')))) as bigint) i from documents")
 pipe("unwind_all_words", "documents", [{"$project": {"doc_id": 1, "w": {"$split": ["$text", " "]}}}, {"$unwind": {"path": "$w", "includeArrayIndex": "i"}}, {"$group": {"_id": "$w", "n": {"$sum": 1}, "places": {"$sum": "$i"}}}],
      "select w _id, count(*) n, cast(sum(i) as bigint) places from (select unnest(string_split(text, ' ')) w, unnest(range(len(string_split(text, ' ')))) i from documents) group by 1")
 pipe("sort_skip_limit", "orders", [{"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$skip": 5}, {"$limit": 10}, {"$project": {"o_orderkey": 1, "o_totalprice": 1}}], "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10 offset 5")
@@ -170,7 +174,9 @@ pipe("window_derivative", "orders", [{"$setWindowFields": {"partitionBy": "$o_cu
      "select o_orderkey, cast(floor(case when lag(o_orderkey) over w is null then null else (o_totalprice - lag(o_totalprice) over w) / (o_orderkey - lag(o_orderkey) over w) end * 1000 + 0.1234567) as bigint) d from orders window w as (partition by o_custkey order by o_orderkey)")
 pipe("window_integral", "orders", [{"$setWindowFields": {"partitionBy": "$o_custkey", "sortBy": {"o_orderkey": 1}, "output": {"i": {"$integral": {"input": "$o_totalprice"}}}}}, {"$project": {"o_orderkey": 1, "i": {"$floor": {"$add": ["$i", 0.1234567]}}}}],
      "with t as (select o_custkey, (o_orderkey - lag(o_orderkey) over w) * (o_totalprice + lag(o_totalprice) over w) / 2 x from orders window w as (partition by o_custkey order by o_orderkey)), s as (select o_custkey, coalesce(sum(x), 0) i from t group by 1) select o_orderkey, cast(floor(i + 0.1234567) as bigint) i from orders join s using (o_custkey)")
-pipe("window_moving_average", "events", _window({"e": {"$expMovingAvg": {"input": "$value", "N": 3}}}, [], extra={"e": _r("$e", 4)}), None)
+pipe("window_moving_average", "events", _window({"e": {"$expMovingAvg": {"input": "$value", "N": 3}}}, [], extra={"e": _f("$e")}),
+     """with recursive t as (select event_id, user_id, value, row_number() over (partition by user_id order by ts, event_id) i from events),
+        r as (select event_id, user_id, i, value e from t where i = 1 union all select t.event_id, t.user_id, t.i, t.value * 0.5 + r.e * 0.5 from r join t on t.user_id = r.user_id and t.i = r.i + 1) select event_id, cast(floor(e * 1000 + 0.1234567) as bigint) e from r""")
 _HOURLY = [{"$group": {"_id": {"$dateTrunc": {"date": "$ts", "unit": "hour", "binSize": 6}}, "n": {"$sum": 1}}}]
 pipe("densify_fill", "events",
      [{"$match": {"event_type": "signup"}}, *_HOURLY, {"$densify": {"field": "_id", "range": {"step": 6, "unit": "hour", "bounds": "full"}}}, {"$fill": {"sortBy": {"_id": 1}, "output": {"n": {"value": 0}}}}],
@@ -210,9 +216,9 @@ pipe("json_props", "events", [{"$match": {"event_type": "purchase"}}, {"$group":
 # -- find, updates, front ends ----------------------------------------------------------
 
 
-@query("find_fluent", "select o_orderkey, o_totalprice from orders where o_orderstatus = 'O' and not (o_totalprice < 100000) and o_custkey in (1, 2, 4, 5, 7, 10, 100) order by o_totalprice desc, o_orderkey limit 20")
+@query("find_fluent", "select o_orderkey, o_totalprice from orders where o_orderstatus = 'O' and not (o_totalprice < 100000) and o_orderpriority in ('1-URGENT', '5-LOW') order by o_totalprice desc, o_orderkey limit 20")
 def _(c):
-    return Find("orders", c).f("o_orderstatus").eq("O").f("o_totalprice").not_().lt(100000).f("o_custkey").in_([1, 2, 4, 5, 7, 10, 100]).sort("-o_totalprice", "o_orderkey").limit(20).project("o_orderkey", "o_totalprice").df()
+    return Find("orders", c).f("o_orderstatus").eq("O").f("o_totalprice").not_().lt(100000).f("o_orderpriority").in_(["1-URGENT", "5-LOW"]).sort("-o_totalprice", "o_orderkey").limit(20).project("o_orderkey", "o_totalprice").df()
 
 
 @query("find_distinct", "select distinct c_mktsegment as value from customer where c_acctbal > 0")

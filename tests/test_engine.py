@@ -187,3 +187,15 @@ def test_array_to_object_and_empty_aggregates(items):
     assert (out["o"], out["p"]) == ({"a": 1}, {"x": "y"})
     got = jdql.run("SELECT MIN(a) AS lo, MAX(a) AS hi, COUNT(a) AS n FROM x WHERE a > 100", items).first()
     assert (got["lo"], got["hi"], got["n"]) == (0.0, 0.0, 0)
+
+
+def test_bulk_write_order(items):
+    from docmill.find import bulk_write
+
+    rows = items.select("_id", "a")
+    steps = [("nope", {}), ("update_many", {"a": 5}, {"$set": {"a": 6}})]
+    with pytest.raises(UnsupportedOperator):
+        bulk_write(rows, steps)
+    with pytest.raises(UnsupportedOperator) as e:
+        bulk_write(rows, steps, ordered=False)
+    assert sorted(r["_id"] for r in e.value.collection.where("a = 6").collect()) == [1, 4]
