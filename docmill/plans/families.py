@@ -83,7 +83,7 @@ def _points(c):
        x >= 0.5 and x < 20.5 and y >= 0.5 and y < 20.5 and x > y polygon from t""")
 def _(c):
     out = _points(c)
-    for name, shape in (("center", {"$center": [[10, 20], 6]}), ("sphere", {"$centerSphere": [[10, 20], 0.1]}), ("polygon", {"$polygon": [[0.5, 0.5], [20.5, 0.5], [20.5, 20.5]]})):
+    for name, shape in (("center", {"$center": [[10, 20], 6]}), ("sphere", {"$centerSphere": [[10, 20], 0.1]}), ("polygon", {"$polygon": [[0.5, 0.2], [20.5, 0.2], [20.5, 20.2]]})):
         out = aggregate(out, [{"$addFields": {name: {"$match": {"at": {"$geoWithin": shape}}}}}], c)
     return out.drop("at")
 
