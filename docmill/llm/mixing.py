@@ -10,10 +10,12 @@ about sqrt(n) shuffle buckets, bucket sums give offsets, and windows run inside
 (source, bucket).  The global cut likewise uses the sums of the range partitions
 and orders rows only inside the one partition that the budget ends in.
 
+Equal rows are counted per task before anything is sorted, and each copy has a finish
+time of its own, so a cut may fall among copies and no group of them meets in a task.
+
 Defined cases: null text has size 0 and is never counted; a null source is a
-source of its own, last in order; an empty table gives an empty mix; repeated
-rows are separate documents of equal rank, which share one fate; targets are 0
-where all sizes are 0.
+source of its own, last in order; an empty table gives an empty mix; of repeated rows
+as many are taken as fit, whichever; targets are 0 where all sizes are 0.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from docmill.llm.common import WORD, broadcast_if_small, materialize, row_count
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
+REPEATS = 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -67,26 +70,36 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     ``taken`` is 0, 1 or 2 times ``size``.  ``keep`` names further columns to carry."""
     keep = keep or []
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("u"), *[c for c in keep if c != "u"])
+    sized = docs.select("doc_id", "source", size.alias("size"), shuffled(seed).alias("u"), *[c for c in keep if c != "u"])
     sized = materialize(sized, "mix-sizes")
     n = row_count(sized)
-    bits = max(0, min(20, math.ceil(math.log2(max(1.0, n / max(1024.0, math.sqrt(n)))))))
+    buckets = 2 ** max(0, min(20, math.ceil(math.log2(max(1.0, n / max(1024.0, math.sqrt(n)))))))
     targets = materialize(source_targets(sized, weights, share, most), "mix-targets")
-    bucket = F.shiftrightunsigned("u", 64 - bits).cast("int") if bits else F.lit(0)
-    rows = sized.withColumn("bucket", bucket)
+    bucket = F.floor(F.conv(F.substring("u", 1, 5), 16, 10).cast("bigint") * buckets / 2**20).cast("int")
+    names = list(dict.fromkeys(["doc_id", "source", "size", "u", *keep]))
+    copies = sized.withColumn("task", F.spark_partition_id()).groupBy(*names, "task").agg(F.count(F.lit(1)).alias("copies"))
+    rows = materialize(copies.withColumn("bucket", bucket), "mix-copies")
     before = F.sum("sum").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("sum")
-    offsets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("sum")).select("source", "bucket", before.alias("before"))
+    offsets = rows.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("sum")).select("source", "bucket", before.alias("before"))
     rows = rows.alias("r").join(offsets.alias("o"), F.expr("r.source <=> o.source and r.bucket = o.bucket")).select("r.*", "o.before")
     rows = rows.alias("r").join(broadcast_if_small(targets).alias("t"), F.expr("r.source <=> t.source")).select("r.*", "t.source_size", "t.target")
-    inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("u", "doc_id", "size"))
-    done = F.col("before") + inside
+    order = list(dict.fromkeys(["u", "doc_id", "size", *keep, "task"]))
+    all_copies = F.col("size") * F.col("copies")
+    inside = F.sum(all_copies).over(W.partitionBy("source", "bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - all_copies
+    rows = rows.withColumn("done", F.col("before") + inside).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    done = F.col("done") + F.col("copy") * F.col("size")
     rows = rows.withColumn("t1", F.try_divide(done.cast("double"), "target")).withColumn("t2", F.try_divide(F.col("source_size") + done.cast("double"), "target"))
-    rows = materialize(rows.drop("before", "bucket"), "mix-times")
+    rows = materialize(rows.drop("before", "bucket", "task", "copies", "copy", "done"), "mix-times")
     cut = _cut(rows, share)
     taken = sum((F.when(_upto([t, "u", "doc_id"], cut, e), F.col("size")).otherwise(0) for e, t in ((0, "t1"), (1, "t2"))), F.lit(0)) if cut else F.lit(0)
     return rows.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce(taken, F.lit(0)).cast("bigint").alias("taken"), *keep)
 
 
+def shuffled(seed: int) -> Column:
+    """A document's place in its source's seeded shuffle, as 32 hexadecimal digits."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+
+
 def _cut(rows: DataFrame, share: float) -> tuple | None:
     """The last (time, epoch, u, doc_id) of the global order within the budget."""
     order = ["time", "epoch", "u", "doc_id"]
@@ -114,12 +127,19 @@ def _cut(rows: DataFrame, share: float) -> tuple | None:
 def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken.
 
-    Equal rows share one fate, so the verdicts, one per (doc_id, u), are joined back
-    and the texts move once.
+    Rows equal in every column are brought together first, by partial aggregation, and
+    then repeated as often as their copies are taken; texts move once.
     """
-    verdict = fair_mix(docs, seed=seed, keep=["u"], **options).where("taken > 0")
-    verdict = verdict.groupBy("doc_id", "u").agg(F.max(F.expr("cast(taken div size as int)")).alias("__times"))
-    u = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
-    mine = docs.withColumn("__u", u).alias("d")
-    joined = mine.join(verdict.alias("v"), F.expr("d.__u = v.u and d.doc_id <=> v.doc_id"))
-    return joined.select("d.*", "v.__times").withColumn("__n", F.explode(F.expr("array_repeat(1, __times)"))).drop("__n", "__times", "__u")
+    # Several columns may have one name; by place they are told apart.
+    plain = docs.toDF(*[f"__{i}" for i in range(len(docs.columns))])
+    names = {c.lower(): f"__{i}" for i, c in reversed(list(enumerate(docs.columns)))}
+    seen = plain.withColumns({c: F.col(names[c]) for c in ("doc_id", "text", "source")})
+    marked = seen.withColumns({"u": shuffled(seed), "mark": F.xxhash64(*plain.columns)})
+    verdict = fair_mix(marked, seed=seed, keep=["u", "mark"], **options).where("taken > 0")
+    verdict = verdict.groupBy("doc_id", "u", "mark").agg(F.sum(F.expr("taken div size")).alias("__times")).alias("v")
+    one = marked.groupBy("u", "mark").agg(F.first(F.struct(*plain.columns)).alias("row"), F.first("doc_id").alias("doc_id")).alias("d")
+    joined = one.join(verdict, F.expr("d.u = v.u and d.mark = v.mark")).select("d.row", "v.__times")
+    # A bounded array at a time, however many copies there are.
+    part = joined.withColumn("__at", F.explode(F.expr(f"sequence(0L, (__times - 1) div {REPEATS})")))
+    each = part.withColumn("__n", F.explode(F.expr(f"sequence(1L, least({REPEATS}L, __times - __at * {REPEATS}))")))
+    return each.select("row.*").toDF(*docs.columns)

@@ -133,5 +133,39 @@ from links l join sizes x on l.a = x.doc_id join sizes y on l.b = y.doc_id where
 """
 
 
+#: Weighted fair queueing over all documents at once.  Weights 3, 1, 2 go round the
+#: sources in order; in order of cap by weight a source is capped if what is left, dealt
+#: by weight from it on, would exceed its cap.
+FAIR_QUEUE_SQL = r"""
+with sized as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+         md5('17|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(coalesce(text, ''))) as u, row_number() over () as row
+  from documents),
+named as (
+  select source, cast(sum(size) as bigint) as source_size, [3, 1, 2][1 + (row_number() over (order by source is null, source) - 1) % 3] as w
+  from sized group by source),
+capped as (
+  select *, 2.0 * source_size as cap, 2.0 * source_size / w as fill from named),
+levels as (
+  select *, (1.5 * sum(source_size) over () - sum(cap) over f + cap) / (sum(w) over () - sum(w) over f + w) as level, row_number() over f as place
+  from capped window f as (order by fill, source is null, source rows between unbounded preceding and current row)),
+targets as (
+  select source, source_size, case when level * w > cap then cap else least(cap, (select arg_min(level, place) from levels where level * w <= cap) * w) end as target
+  from levels),
+timed as (
+  select s.*, t.source_size, cast(t.target as double) as target, sum(s.size) over (partition by s.source order by s.u, s.doc_id, s.row) as done
+  from sized s join targets t on s.source is not distinct from t.source),
+turns as (
+  select row, size, u, doc_id, 0 as epoch, cast(done as double) / target as time from timed where size > 0
+  union all
+  select row, size, u, doc_id, 1, (source_size + cast(done as double)) / target from timed where size > 0),
+used as (
+  select row, size, sum(size) over (order by time, epoch, u, doc_id rows between unbounded preceding and current row) as total from turns),
+taken as (select row, sum(size) as taken from used where total <= 1.5 * (select sum(size) from sized) group by row)
+select t.doc_id, t.size, t.source_size, coalesce(t.target, 0.0) as target, cast(coalesce(k.taken, 0) as bigint) as taken
+from timed t left join taken k on t.row = k.row
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP_SQL, "op6_jaccard_trie": JACCARD_SQL, "op6_jaccard_trie_links": JACCARD_LINKS_SQL}
+    return {"op8_fair_queue": FAIR_QUEUE_SQL, "op2_line_dedup": LINE_DEDUP_SQL, "op6_jaccard_trie": JACCARD_SQL, "op6_jaccard_trie_links": JACCARD_LINKS_SQL}
