@@ -17,7 +17,9 @@ All of it is DataFrame expressions.  Texts without a digit, @ or spelled dot lea
 after one search; the graph holds only distinct (pattern, instance) pairs and
 is aggregated before it is shuffled, so a pattern next to a third of all identifiers
 is one row per task.  The regular expressions are possessive or anchored by
-look-behind, so they stay linear on texts without blanks and never recurse.
+look-behind, so they stay linear on texts without blanks and never recurse.  A pattern
+cuts a text into finds and the gaps between them; gaps give the finds' offsets, by running
+sums, and their context, so the work is linear in the finds of a text.
 
 Defined cases: a null or empty text has no spans and the digest of the empty string;
 repeated rows get equal results; a null doc_id is kept as it is; ties between kinds
@@ -27,6 +29,7 @@ go to the kind listed first; further columns are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docmill.llm.common import broadcast_if_small, materialize
@@ -46,29 +49,32 @@ _NON = r"[^\x20\x09-\x0D]"
 CANDIDATE = rf"(?<!{_NON})[^\x20\x09-\x0D0-9@]*+[0-9@]{_NON}*+[\x20\x09]*+"
 _DOT = r"[\x20\x09]++[(\[]?[Dd][Oo][Tt][)\]]?[\x20\x09]++"
 SPELLED = rf"(?<!{_NON}){_LOCAL}++[\x20\x09]++[(\[]?[Aa][Tt][)\]]?[\x20\x09]++[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++"
-CONTEXT = 64  # code points looked at on either side
 MIN_SEEDS = 3
 MIN_RLOGF = 1.0
 PATTERN_CONFIDENCE, BELIEF = 0.75, 0.8
 
 
-def _lit(s: str) -> str:
-    return "r'" + s.replace("'", "\\'") + "'"
+FIND = "struct<gap:int,value:string,left:string,right:string>"
+SPAN = "array<struct<start:int,end:int>>"
 
 
-def find_spans(pattern: str) -> Column:
-    """Leftmost non-overlapping finds in ``text`` as (start, end, value), counted in
-    code points: what lies between the finds gives their offsets."""
-    p = _lit(pattern)
-    return F.expr(
-        f"""case when text rlike {p} then aggregate(
-            zip_with(regexp_extract_all(text, {p}, 0), slice(split(text, {p}, -1), 1, size(regexp_extract_all(text, {p}, 0))), (m, g) -> named_struct('m', m, 'g', g)),
-            named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,value:string>>)),
-            (a, x) -> named_struct('at', a.at + char_length(x.g) + char_length(x.m),
-              'out', concat(a.out, array(named_struct('start', a.at + char_length(x.g), 'end', a.at + char_length(x.g) + char_length(x.m), 'value', x.m)))),
-            a -> a.out)
-          else cast(array() as array<struct<start:int,end:int,value:string>>) end"""
-    )
+def finds(pattern: str) -> Column:
+    """Leftmost non-overlapping finds in ``text``: the code points between the one before
+    and this, the value, and the text up to two words on either side, in lower case with
+    single blanks.  What a lambda names is bound as the element of an array of one, so
+    that it is computed once."""
+    p = F.lit(pattern)
+    clean = lambda g: F.regexp_replace(F.lower(g), r"[\x20\x09-\x0D]++", " ")
+    bound = F.array(F.struct(F.regexp_extract_all("text", p, F.lit(0)).alias("m"), F.split("text", pattern, -1).alias("g")))
+    measured = F.transform(bound, lambda x: F.struct(x["m"].alias("m"), F.transform(x["g"], F.char_length).alias("n"), F.transform(x["g"], clean).alias("g"), F.transform(x["m"], clean).alias("c")))
+
+    def find(x: Column):
+        # A gap of less than two words goes on with the find behind it.
+        left = lambda i: F.substring_index(F.rtrim(F.concat(F.when(i == 0, "").otherwise(F.get(x["c"], i - 1)), F.get(x["g"], i))), " ", -3)
+        right = lambda i: F.substring_index(F.ltrim(F.concat(F.get(x["g"], i + 1), F.coalesce(F.get(x["c"], i + 1), F.lit("")))), " ", 3)
+        return lambda v, i: F.struct(F.get(x["n"], i).alias("gap"), v.alias("value"), left(i).alias("left"), right(i).alias("right"))
+
+    return F.when(F.col("text").rlike(pattern), F.get(F.transform(measured, lambda x: F.transform(x["m"], find(x))), F.lit(0)))
 
 
 def _valid(kind: str):
@@ -83,59 +89,56 @@ def _valid(kind: str):
     return lambda s: s["value"].isNotNull()
 
 
-def _as_seed(kind: str):
-    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(kind).alias("kind"))
+def _patterns(left: Column, right: Column) -> Column:
+    """The lexical patterns of a span: words before, words after, one on each side."""
+    before, after = F.regexp_extract(left, "(?:^| )([^ ]+ [^ ]+)$", 1), F.regexp_extract(right, "^([^ ]+ [^ ]+)", 1)
+    one, other = F.substring_index(left, " ", -1), F.substring_index(right, " ", 1)
+    named = [F.when(before != "", F.concat(F.lit("L "), before)), F.when(after != "", F.concat(F.lit("R "), after)), F.when((one != "") & (other != ""), F.concat(F.lit("B "), one, F.lit(" _ "), other))]
+    return F.array_compact(F.array(*named))
 
 
-def _around(start: Column, end: Column) -> list[Column]:
-    """The lexical patterns of a span: words before, words after, one on each side."""
-    clean = lambda c: F.regexp_replace(F.lower(c), r"[\x20\x09-\x0D]+", " ")
-    text = F.col("text")
-    left = clean(F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT))))
-    right = clean(F.substring(text, end + 1, F.lit(CONTEXT)))
-    before = F.regexp_extract(left, r"(?:^| )([^ ]+ [^ ]+) ?$", 1)
-    after = F.regexp_extract(right, r"^ ?([^ ]+ [^ ]+)(?: |$)", 1)
-    both = F.concat_ws(" _ ", F.regexp_extract(left, r"([^ ]+) ?$", 1), F.regexp_extract(right, r"^ ?([^ ]+)", 1))
-    named = [F.when(before != "", F.concat(F.lit("L "), before)), F.when(after != "", F.concat(F.lit("R "), after)), F.when(both.rlike("^[^ ]+ _ [^ ]+$"), F.concat(F.lit("B "), both))]
-    return [F.array_compact(F.array(*named))]
-
-
-def _runs(tokens: Column) -> Column:
-    """Adjacent finds of ``CANDIDATE`` as one span each, without the blanks behind."""
-    joins = lambda a, t: (a["end"] == t["start"]) & a["value"].rlike(r"[^,;:.!?\x20\x09][\x20\x09]+$")
-    span = lambda start, end, value: F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
-
-    def add(out: Column, t: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(span(last["start"], t["end"], F.concat(last["value"], t["value"]))))
-        return F.when((F.size(out) > 0) & F.coalesce(joins(F.get(out, F.size(out) - 1), t), F.lit(False)), longer).otherwise(F.concat(out, F.array(span(t["start"], t["end"], t["value"]))))
-
-    merged = F.aggregate(tokens, F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"), add)
-    bare = lambda t: F.regexp_replace(t["value"], r"[\x20\x09]+$", "")
-    return F.transform(merged, lambda t: span(t["start"], t["start"] + F.char_length(bare(t)), bare(t)))
-
-
-def base_spans(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id``, the valid spans of each kind, and ``instances`` (start,
-    end, value, kind or null, patterns)."""
+def found_texts(docs: DataFrame) -> DataFrame:
+    """``row, doc_id`` and the finds of every pattern in a text."""
     marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    digit = F.col("text").rlike("[0-9@]")
-    found = marked.withColumn("some", digit)
+    some = F.col("text").rlike("[0-9@]")
     cheap = {"email": "contains(text, '@')", "ip": "text rlike '[0-9][.][0-9]'", "card": "text rlike '[0-9][ -]?[0-9]'", "phone": "contains(text, '+')"}
+    every = {**{k: F.when(some & F.expr(cheap[k]), finds(PATTERNS[k])) for k in KINDS}, "token": F.when(some, finds(CANDIDATE)), "spelled": F.when(F.col("text").rlike(_DOT), finds(SPELLED))}
+    return marked.select("row", "doc_id", *[c.cast(f"array<{FIND}>").alias(k) for k, c in every.items()])
+
+
+def placed_spans(found: DataFrame) -> DataFrame:
+    """``row, start, end, value, kind, left, right``: valid base spans with their kind, and
+    the other instances, which overlap none of them, with a null kind."""
+    names = [*KINDS, "token", "spelled"]
+    listed = F.filter(F.array(*[F.struct(F.lit(k).alias("by"), F.col(k).alias("finds")) for k in names]), lambda x: x["finds"].isNotNull())
+    each = found.select("row", F.explode(listed).alias("f")).select("row", "f.by", F.posexplode("f.finds").alias("i", "x")).select("row", "by", "i", "x.*")
+    along = W.partitionBy("row", "by").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.char_length("value")).over(along).cast("int")
+    spans = each.withColumn("end", end).withColumn("start", (F.col("end") - F.char_length("value")).cast("int"))
+    valid = F.lit(True)
     for kind in KINDS:
-        spans = F.when(F.col("some") & F.expr(cheap[kind]), find_spans(PATTERNS[kind])).otherwise(none)
-        found = found.withColumn(kind, F.filter(spans, _valid(kind)))
-    every = F.concat(*[F.transform(kind, _as_seed(kind)) for kind in KINDS])
-    found = found.withColumn("seeds", every)
-    tokens = F.when(F.col("some"), find_spans(CANDIDATE)).otherwise(none)
-    apart = lambda spans: lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    spelled = F.when(F.col("text").rlike(_DOT), find_spans(SPELLED)).otherwise(none)
-    found = found.withColumn("spelled", F.filter(spelled, apart("seeds"))).withColumn("tokens", F.filter(F.filter(tokens, apart("seeds")), apart("spelled")))
-    others = F.transform(F.concat(_runs(F.col("tokens")), "spelled"), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), F.lit(None).cast("string").alias("kind")))
-    instances = F.transform(F.concat("seeds", others), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(F.lower(s["value"]), r"[\x20\x09]+", " ").alias("value"), s["kind"].alias("kind"), _around(s["start"], s["end"])[0].alias("patterns")))
-    bare = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k)
-    return found.select("doc_id", "row", *[bare(k) for k in KINDS], instances.alias("instances"))
+        valid = F.when(F.col("by") == kind, _valid(kind)({"value": F.col("value")})).otherwise(valid)
+    spans = spans.where(valid)
+    rank = F.when(F.col("by").isin(*KINDS), 0).when(F.col("by") == "spelled", 1).otherwise(2)
+    spans = spans.withColumn("rank", rank)
+    # The furthest end before a span and the nearest start behind it, by rank.
+    forth, back = W.partitionBy("row").orderBy("start", "rank", "end"), W.partitionBy("row").orderBy(F.desc("start"), F.desc("rank"), F.desc("end"))
+    ends = lambda r: F.max(F.when(F.col("rank") == r, F.col("end"))).over(forth.rowsBetween(W.unboundedPreceding, -1))
+    starts = lambda r: F.min(F.when(F.col("rank") == r, F.col("start"))).over(back.rowsBetween(W.unboundedPreceding, -1))
+    near = spans.withColumns({f"{side}{r}": f(r) for r in (0, 1) for side, f in (("e", ends), ("s", starts))})
+    meets = lambda r: F.coalesce(F.col(f"e{r}") > F.col("start"), F.lit(False)) | F.coalesce(F.col(f"s{r}") < F.col("end"), F.lit(False))
+    near = near.where((F.col("rank") == 0) | ~meets(0)).where((F.col("rank") < 2) | ~meets(1))
+    # Adjacent tokens of a line are one instance.
+    line = W.partitionBy("row", "by").orderBy("start")
+    last, ended = F.lag("end").over(line), F.lag("value").over(line)
+    goes_on = (F.col("by") == "token") & (last == F.col("start")) & ended.rlike(r"[^,;:.!?\x20\x09][\x20\x09]+$")
+    runs = near.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("start", "value")))
+    joined = runs.groupBy("row", "by", "run").agg(F.min("start").alias("start"), F.array_join(F.transform(parts, lambda x: x["value"]), "").alias("value"), F.min_by("left", "start").alias("left"), F.max_by("right", "start").alias("right"))
+    bare = F.when(F.col("by") == "token", F.regexp_replace("value", r"[\x20\x09]++$", "")).otherwise(F.col("value"))
+    kind = F.when(F.col("by").isin(*KINDS), F.col("by"))
+    named = joined.withColumn("value", bare).withColumn("end", F.col("start") + F.char_length("value"))
+    return named.select("row", "start", "end", F.regexp_replace(F.lower("value"), r"[\x20\x09]++", " ").alias("value"), kind.alias("kind"), _patterns(F.col("left"), F.col("right")).alias("patterns"))
 
 
 def bootstrap(instances: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -173,12 +176,15 @@ def _join_spans(spans: Column, kind: str) -> Column:
 def detect_pii(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """Per row ``doc_id``, base spans by kind, and ``added``: (kind, start, end) of
     the identifiers that the bootstrap discovered."""
-    base = materialize(base_spans(docs), "pii-base")
-    instances = materialize(base.select("row", F.explode("instances").alias("i")).select("row", "i.*"), "pii-instances")
+    texts = materialize(found_texts(docs), "pii-finds")
+    instances = materialize(placed_spans(texts), "pii-instances")
     found = bootstrap(instances, rounds)
+    of_kind = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("start", "end"))))
+    base = instances.where("kind is not null").groupBy("row").agg(*[of_kind(k).alias(k) for k in KINDS])
     places = instances.where("kind is null").select("row", "start", "end", "value").join(broadcast_if_small(found), "value")
     added = places.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
-    return base.join(broadcast_if_small(added), "row", "left").drop("instances", "row")
+    joined = texts.select("row", "doc_id").join(broadcast_if_small(base), "row", "left").join(broadcast_if_small(added), "row", "left")
+    return joined.select("doc_id", *[F.coalesce(k, F.expr(f"cast(array() as {SPAN})")).alias(k) for k in KINDS], "added")
 
 
 def _of_kind(kind: str):

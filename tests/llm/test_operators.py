@@ -148,7 +148,7 @@ def test_pii(docs, empty, spark):
     assert digests(detect_pii(empty)).count() == 0
     seen = [(f"90000000{i}", "phone", ["L call me"]) for i in range(4)] + [("77-1234", None, ["L call me", "R now please"]), ("55-0000", None, ["L of the"])]
     found = bootstrap(spark.createDataFrame(seen, "value string, kind string, patterns array<string>")).collect()
-    assert [(r["value"], r["kind"]) for r in found] in ([("77-1234", "phone")], [])
+    assert [(r["value"], r["kind"]) for r in found] == [("77-1234", "phone")]
 
 
 def test_pii_discovers_beside_few_seeds_and_along_chains(spark):
