@@ -6,6 +6,10 @@ that still fit in every dimension it takes the one whose demand vector has the
 largest dot product with the sequence's remaining capacities.  Examples longer than
 a sequence are first cut into full pieces and a rest.
 
+Plain documents bear loss on every token, so their token and loss limits coincide.  For
+instruction data (:func:`pack_conversations`) only the tokens of the answering role bear
+loss and have a lower limit of their own, and segments are few enough to bind.
+
 Pieces are packed in groups of about ``GROUP`` documents, each group in one task,
 dealt by a hash of the document, so a group's memory is fixed whatever the corpus;
 what grouping costs is at most a few part-filled sequences per group.
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from docmill.llm.common import materialize, row_count, texts
 
 MAX_TOKENS, MAX_SEGMENTS = 2048, 256
+#: Limits of sequences of instruction data.
+CHAT_SEGMENTS, CHAT_LOSS = 16, 1024
 GROUP = 2000
 END = 1
 CACHE_WORDS = 400_000
@@ -201,11 +207,12 @@ def pack_vectors(demand: np.ndarray, capacity: np.ndarray) -> tuple[np.ndarray,
 
 
 PACKED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+LOSS = ", loss bigint"
 
 
 def pack_pieces(pieces: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``.  A column ``loss`` gives a piece's
-    loss-bearing tokens; without it every token bears loss."""
+    loss-bearing tokens and is kept; without it every token bears loss."""
     has_loss, most_loss = "loss" in pieces.columns, max_loss or max_tokens
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
@@ -217,9 +224,10 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: i
         group = group.sort_values(["bin", "place"])
         group["offset"] = group.groupby("bin")["length"].cumsum() - group["length"]
         group["sequence_id"] = group["grp"].astype(np.int64) * 2**24 + group["bin"]
-        return group[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]].astype({"doc_id": "Int64"})
+        return group[[c.split()[0] for c in schema.split(", ")]].astype({"doc_id": "Int64"})
 
-    return pieces.groupBy("grp").applyInPandas(pack, PACKED)
+    schema = PACKED + (LOSS if has_loss else "")
+    return pieces.groupBy("grp").applyInPandas(pack, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS) -> DataFrame:
@@ -229,6 +237,48 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS
     return pack_pieces(pieces, max_tokens, max_segments)
 
 
+def cut_turns(turns: list[tuple[bytes, bool]], max_tokens: int, max_loss: int) -> list[tuple[int, bytes, int]]:
+    """(start, ids, loss-bearing ids) of the pieces of a conversation, from its turns' ids
+    and whether they bear loss.  A piece ends where either limit is reached."""
+    ids = np.frombuffer(b"".join(t for t, _ in turns), dtype="<u4")
+    loss = np.cumsum(np.repeat(np.array([b for _, b in turns], dtype=np.int64), [len(t) // 4 for t, _ in turns]))
+    out, start = [], 0
+    while start < len(ids):
+        before = int(loss[start - 1]) if start else 0
+        end = min(start + max_tokens, int(np.searchsorted(loss, before + max_loss, side="right")))
+        out.append((start, ids[start:end].tobytes(), int(loss[end - 1]) - before))
+        start = end
+    return out
+
+
+def conversation_pieces(conversations: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, max_loss: int = CHAT_LOSS, end: int = END, groups: int = 1, answering: str = "assistant") -> DataFrame:
+    """Pieces of conversations (``conv_id, turn, role, text``), every turn followed by the
+    end id; ``loss`` counts the ids of turns of the ``answering`` role.  ``doc_id`` is the
+    conv_id; turns of equal number are in the order of their role and text."""
+    last = np.array([end], dtype="<u4").tobytes()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                ids = tokenize([(t["text"] or "").encode("utf-8", "surrogatepass") for t in row["turns"]], tokenizer)
+                pieces = cut_turns([(x + last, t["role"] == answering) for x, t in zip(ids, row["turns"], strict=True)], max_tokens, max_loss)
+                total = sum(len(x) // 4 + 1 for x in ids)
+                rows += [(row["conv_id"], start, len(x) // 4, zlib.crc32(x), total, row["grp"], n) for start, x, n in pieces]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(7)], [*[c.split()[0] for c in PIECES.split(", ")], "loss"])
+
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    whole = conversations.groupBy("conv_id").agg(turns.alias("turns")).withColumn("grp", F.pmod(F.xxhash64("conv_id"), F.lit(groups)))
+    return whole.mapInArrow(cut, PIECES + ", loss bigint")
+
+
+def pack_conversations(conversations: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, max_segments: int = CHAT_SEGMENTS, max_loss: int = CHAT_LOSS) -> DataFrame:
+    """Conversations cut and packed under all three limits; one row per piece."""
+    groups = max(1, row_count(conversations) // (4 * GROUP))
+    pieces = materialize(conversation_pieces(conversations, tokenizer, max_tokens, max_loss, groups=groups), "chat-pieces")
+    return pack_pieces(pieces, max_tokens, max_segments, max_loss)
+
+
 def sequence_ids(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """The packed sequences themselves: ``sequence_id, length, ids`` (binary)."""
     packed = pack_documents(docs, tokenizer, max_tokens)
