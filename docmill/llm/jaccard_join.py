@@ -90,15 +90,16 @@ def _by_range(h: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def set_marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, mark): the size and a 128-bit mark of every set."""
+    """(doc_id, key, n_shingles, mark): the size and a 128-bit mark of every set, with a
+    hash of the text."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in texts(batch):
                 sets = gram_sets(raw)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_mark(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "mark"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_mark(s) for s in sets], pa.binary())], ["doc_id", "key", "n_shingles", "mark"])
 
-    return docs.select("doc_id", "text").mapInArrow(mark, "doc_id bigint, n_shingles bigint, mark binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(mark, "doc_id bigint, key bigint, n_shingles bigint, mark binary")
 
 
 POSTED = "rng int, slice bigint, a binary, b binary, c binary"
@@ -379,6 +380,21 @@ def jaccard_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
     return marks.join(named, "mark", "left").select(*columns)
 
 
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, one of each group of near duplicates: that of the least
+    doc_id (null last), of several texts under it any one.  Rows without words are in no
+    group and stay; different texts under one doc_id are apart unless they are linked."""
+    marks, _, _, found = _join(docs, "span")
+    grouped = marks.where("n_shingles > 0").join(found.withColumnRenamed("node", "mark"), "mark", "left")
+    least = grouped.groupBy(F.coalesce("component", "mark").alias("group")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("__id"), F.col("key").alias("__key"))).alias("k")).select("k.*")
+    plain = docs.toDF(*[f"__{i}" for i in range(len(docs.columns))])  # names may clash
+    names = {c.lower(): f"__{i}" for i, c in reversed(list(enumerate(docs.columns)))}
+    keyed = plain.withColumns({"__id": F.coalesce(names["doc_id"], F.lit(LAST_ID)), "__key": F.xxhash64(names["text"])})
+    words = F.coalesce(F.col(names["text"]).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    first = keyed.where(words).join(least, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
+    return first.unionByName(keyed.where(~words)).select(*plain.columns).toDF(*docs.columns)
+
+
 def _join(docs: DataFrame, mode: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """The sets' marks per document, their classes, the links of ``_traverse`` and,
     but for all pairs, the components (node, component).  Components are joined from
