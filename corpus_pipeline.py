@@ -21,19 +21,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier document holds; those left
-    without any text go."""
-    out = line_dedup.dedup_lines(docs).where("n_dropped = 0 or n_dropped < n_lines").where("text is null or length(text) > 0 or n_dropped = 0")
+    """All documents, without the lines that an earlier document holds.  One left without
+    text stays, empty."""
+    out = line_dedup.dedup_lines(docs)
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group of near duplicates."""
-    found = jaccard_join.jaccard_components(docs, count_links=False)
-    keep = found.where("component_id is null or doc_id = component_id").select("doc_id").distinct().alias("k")
-    # Rows of one doc_id are one document; a null doc_id names none and stays.
-    first = docs.alias("d").join(keep, F.expr("d.doc_id <=> k.doc_id"), "left_semi")
-    return first.where("doc_id is null").unionAll(first.where("doc_id is not null").dropDuplicates(["doc_id"])).select(docs.columns)
+    return jaccard_join.one_of_each_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
