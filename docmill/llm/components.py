@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Every round is a partial-aggregated minimum per node and a join back, so a node of
-any degree is split like any skewed join key; the graph never leaves the executors.
-Each round's edges are written to the shared folder.
+Every round is a partial-aggregated minimum per node and a join back.  Nodes on more
+than one in ``HUBS`` edges are at most 2 * ``HUBS``, whatever the graph; their minima are
+broadcast, so their edges stay where they were read instead of meeting in one task.  The
+graph never leaves the executors.  Each round's edges are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -13,27 +14,40 @@ from pyspark.sql import functions as F
 from docmill.llm.common import materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round over edges (u, v) with u > v."""
+#: A node that holds more than one in so many edges is a hub.
+HUBS = 500
+
+
+def _with_least(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """``edges`` with the least node m that their u knows, of ``rows`` edges in all."""
+    hubs = F.broadcast(least.where(F.col("n") * HUBS > rows).drop("n"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.drop("n"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
+
+
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+    """One round over ``rows`` edges (u, v) with u > v."""
+    degree = F.count(F.lit(1)).alias("n")
     if large:  # every node's larger neighbours move to the least node it knows
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), degree).select("u", F.least("m", "u").alias("m"), "n")
+        return _with_least(both.where("v > u"), least, rows).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
     # a node and its smaller neighbours move to the least of them
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), degree)
+    moved = _with_least(edges, least, rows).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes on ``edges`` (a, b); the component is named by
-    its least node.  Loops only name a node; nodes without edges do not appear."""
+    its least node.  Nodes without edges to others do not appear."""
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    rows, state = now.count(), None
     while True:
-        now = materialize(_star(_star(now, large=True), large=False), "edges")
+        # A large star has no more edges than it was given.
+        now = materialize(_star(_star(now, True, rows), False, rows), "edges")
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             break
-        state = new
+        state, rows = new, new[0]
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select("v", "v").distinct())
