@@ -3,7 +3,8 @@
 Every round is a partial-aggregated minimum per node and a join back.  Nodes on more
 than one in ``HUBS`` edges are at most 2 * ``HUBS``, whatever the graph; their minima are
 broadcast, so their edges stay where they were read instead of meeting in one task.  The
-graph never leaves the executors.  Each round's edges are written to the shared folder.
+graph never leaves the executors.  Each half round's edges are written to the shared
+folder, and removed when the next are.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import materialize
+from docmill.llm.common import discard, materialize
 
 
 #: A node that holds more than one in so many edges is a hub.
@@ -44,8 +45,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     rows, state = now.count(), None
     while True:
+        # The halves of a round are written one by one: each reads its edges several times.
         # A large star has no more edges than it was given.
-        now = materialize(_star(_star(now, True, rows), False, rows), "edges")
+        middle = materialize(_star(now, True, rows), "edges")
+        after = materialize(_star(middle, False, rows), "edges")
+        discard(now)
+        discard(middle)
+        now = after
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             break
