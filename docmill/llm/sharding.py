@@ -109,14 +109,18 @@ def _cuts(n: int, shards: int, rank: Column) -> tuple[Column, Column]:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """Write ``docs`` as one folder per shard, each sorted by slot."""
-    key = F.xxhash64("doc_id", "text")
-    where = hilbert_shards(docs, shards).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.col("size").alias("__size"), "place", "shard", "slot")
-    where = where.groupBy("__id", "__crc", "__size").agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("__slots"))
+    """Write ``docs`` as one folder per shard, each sorted by slot.  Rows of one doc_id
+    whose texts have equal sizes and checksums share out their slots in a fixed order.
+    Columns of ``docs`` named shard or slot are written as ``shard_`` and ``slot_``."""
+    of = ["__id", "__crc", "__size"]
+    where = hilbert_shards(docs, shards).toDF("__id", "__size", "__crc", "__place", "__shard", "__slot")
+    where = where.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("__shard", "__slot"))).alias("__slots"))
     text = F.coalesce("text", F.lit(""))
-    turn = F.row_number().over(W.partitionBy("doc_id", "__key").orderBy("doc_id"))
-    numbered = docs.withColumn("__key", key).withColumn("__turn", turn)
+    mine = docs.withColumns({"__own_id": F.col("doc_id"), "__own_crc": F.crc32(text), "__own_size": F.octet_length(text).cast("bigint") + 1})
+    rest = F.to_json(F.struct(*[c for c in docs.columns if c.lower() != "text"]))
+    turn = F.row_number().over(W.partitionBy("__own_id", "__own_crc", "__own_size").orderBy("text", rest))
+    joined = mine.withColumn("__turn", turn).join(where, F.expr("__own_id <=> __id and __own_crc = __crc and __own_size = __size"))
     at = F.get("__slots", F.col("__turn") - 1)
-    joined = numbered.join(where, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.crc32(text) == F.col("__crc")) & (F.octet_length(text) + 1 == F.col("__size")))
-    out = joined.select(*docs.columns, at["shard"].alias("shard"), at["slot"].alias("slot"))
+    kept = [F.col(c).alias(f"{c}_" if c.lower() in ("shard", "slot") else c) for c in docs.columns]
+    out = joined.select(*kept, at["__shard"].alias("shard"), at["__slot"].alias("slot"))
     out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
