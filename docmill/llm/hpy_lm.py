@@ -15,8 +15,10 @@ Scale: pairs (context, word) are dealt by the context's hash into ranges of
 ``RANGE_TOKENS`` tokens, so a restaurant and its parties share a task.  A context with
 more than ``HOT_TOKENS`` tokens is split by word over several ranges, which exchange its
 totals between sweeps; their number is at most ``HOT_WORDS``, which bounds what is
-broadcast.  Ranges and the words' ranges send each other table and customer counts, one
-entry per word of a range.  Nothing is collected but sums.  The first parties of a
+broadcast.  Ranges and the words' ranges tell each other of all words of a range when the
+first tables are set and when the seating is read off.  In the turns between, only the
+parties of two customers or more and their words are sent: a single customer keeps one
+table, which is counted once.  Nothing is collected but sums.  The first parties of a
 restaurant are reseated one after the other; later ones in chunks no larger than what
 was reseated before, against that sweep's totals so far.  The words' restaurant, which
 spans all tasks, takes the other tasks' totals of the sweep before.  Scores are added up
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.common import discard, materialize, texts
-from docmill.llm.hashing import word_hashes
+from docmill.llm.hashing import hashes_at, word_edges, word_hashes
 
 THETA = 1.0
 BURN_IN, SAMPLES = 2, 2
@@ -51,6 +53,7 @@ WAVES = 4
 SLICE = 4_000_000  # bytes of text tokenized at a time
 EXACT = 64  # parties up to this size have their conditional tabulated
 FEW = 12  # tables up to which larger parties' conditionals are corrected to exact ones
+PLAIN = 12  # parties up to this size have theirs multiplied out, without logarithms
 SINGLY = 8  # parties of a restaurant that are reseated one by one
 
 
@@ -61,10 +64,10 @@ def discount_of(n1: float, n2: float) -> float:
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """log Gamma for x > 0 by Stirling's series behind six recurrence steps."""
-    shift = x * (x + 1) * (x + 2)
-    shift2 = (x + 3) * (x + 4) * (x + 5)
+    shift = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5)
     y = x + 6
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) - np.log(shift) - np.log(shift2)
+    z = 1 / y
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + z * (1 / 12 - z * z / 360) - np.log(shift)
 
 
 class Stirling:
@@ -115,10 +118,14 @@ class Parent:
 
     def log(self, j: np.ndarray) -> np.ndarray:
         """log probability for the j-th further table, by party and j (2-d)."""
+        return np.log(self.served(j))
+
+    def served(self, j: np.ndarray) -> np.ndarray:
+        """The probability whose logarithm is :meth:`log`."""
         if not self.grows:
-            return np.broadcast_to(np.log(self.mass / self.total)[:, None], (len(self.mass), j.shape[-1]))
+            return np.broadcast_to((self.mass / self.total)[:, None], (len(self.mass), j.shape[-1]))
         more = j - np.where(self.fresh[:, None] & (j > 0), self.discount, 0.0)
-        return np.log((self.mass[:, None] + more) / (self.total[:, None] + j))
+        return (self.mass[:, None] + more) / (self.total[:, None] + j)
 
 
 def seat(count: np.ndarray, others: np.ndarray, parent: Parent, stirling: Stirling, theta: float, rng: np.random.Generator) -> np.ndarray:
@@ -129,9 +136,12 @@ def seat(count: np.ndarray, others: np.ndarray, parent: Parent, stirling: Stirli
     sizes = count[order]
     for c in np.unique(sizes[sizes <= EXACT]).tolist():
         at = order[np.searchsorted(sizes, c) : np.searchsorted(sizes, c, side="right")]
+        if c <= PLAIN:
+            out[at] = _seat_small(c, others[at], parent.at(at), stirling, theta, rng)
+            continue
         j = np.arange(1, c, dtype=np.float64)[None, :]
         logs = np.zeros((len(at), c))
-        np.cumsum(np.log(theta + d * (others[at][:, None] + j)) + parent.at(at).log(j), axis=1, out=logs[:, 1:])
+        np.cumsum(np.log((theta + d * (others[at][:, None] + j)) * parent.at(at).served(j)), axis=1, out=logs[:, 1:])
         logs += stirling.table[c, 1 : c + 1]
         weight = np.exp(logs - logs.max(axis=1, keepdims=True)).cumsum(axis=1)
         out[at] = 1 + (weight < (rng.random(len(at)) * weight[:, -1])[:, None]).sum(axis=1)
@@ -141,6 +151,21 @@ def seat(count: np.ndarray, others: np.ndarray, parent: Parent, stirling: Stirli
     return out
 
 
+def _seat_small(c: int, others: np.ndarray, parent: Parent, stirling: Stirling, theta: float, rng: np.random.Generator) -> np.ndarray:
+    """The conditional of parties of c customers, multiplied out table by table."""
+    mass, total = (parent.mass - np.where(parent.fresh, parent.discount, 0.0), parent.total) if parent.grows else (parent.mass / parent.total, None)
+    ways = np.exp(stirling.table[c, 1 : c + 1]).tolist()
+    product, sums = 1.0, [np.full(len(others), ways[0])]
+    for j in range(1, c):
+        served = (mass + j) / (total + j) if parent.grows else mass
+        product = product * ((theta + stirling.d * (others + j)) * served)
+        sums.append(sums[-1] + product * ways[j])
+    drawn, out = rng.random(len(others)) * sums[-1], np.ones(len(others), dtype=np.int64)
+    for x in sums[:-1]:
+        out += x < drawn
+    return out
+
+
 def _seat_large(c: np.ndarray, others: np.ndarray, parent: Parent, stirling: Stirling, theta: float, rng: np.random.Generator) -> np.ndarray:
     """The conditional over a grid: first log-spaced over all t, then around the mode."""
     d, a, lacking = stirling.d, theta / stirling.d + others, stirling.correction(c)
@@ -209,19 +234,39 @@ _END, _START = 1, 2
 
 
 def _pack(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """48-bit hashes: the lower four bytes of all, then the upper two."""
+    return h.astype("<u4").tobytes() + (h >> 32).astype("<u2").tobytes()
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(np.int64)
+    n = len(blob) // 6
+    return np.frombuffer(blob, "<u4", n).astype(np.int64) | (np.frombuffer(blob, "<u2", n, 4 * n).astype(np.int64) << 32)
 
 
 def _numbers(blob: bytes, kind: str = "<u4") -> np.ndarray:
     return np.frombuffer(blob, dtype=kind).astype(np.float64 if kind == "<f8" else np.int64)
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes each, after one byte that says how many."""
+    width = next(k for k in (1, 2, 4, 8) if k == 8 or not len(x) or x.max() < 256**k)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _wide(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, dtype=f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
+def _ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with the inverse, by hashing."""
+    coded = pa.array(x).dictionary_encode()
+    found = coded.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(found)
+    rank = np.empty(len(found), dtype=np.int64)
+    rank[order] = np.arange(len(found))
+    return found[order], rank[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
     fields = [x.split() for x in schema.split(", ")]
@@ -238,25 +283,28 @@ class _Slice:
     def __init__(self, raw: list[bytes]):
         found, starts = word_hashes(b"\n".join(raw).lower())
         ends = np.cumsum([len(t) + 1 for t in raw])
-        text = np.searchsorted(ends, starts, side="right")
-        self.sizes = np.bincount(text, minlength=len(raw)) + 1
-        hashes = np.full(int(self.sizes.sum()), _END, dtype=np.int64)
-        hashes[np.arange(len(found)) + text] = found
-        self.hashes, w = np.unique(np.append(hashes, _START), return_inverse=True)
+        words = np.diff(np.searchsorted(starts, ends), prepend=0)
+        self.sizes = words + 1
+        hashes = np.full(int(self.sizes.sum()) + 1, _END, dtype=np.int64)
+        hashes[np.arange(len(found)) + np.repeat(np.arange(len(raw)), words)] = found
+        hashes[-1] = _START
+        self.hashes, w = _ranks(hashes)
         v = np.roll(w, 1)
         v[np.cumsum(self.sizes) - self.sizes] = w[-1]
-        self.pair = (v * len(self.hashes) + w)[:-1]
+        self.bits = len(self.hashes).bit_length()  # a pair is the context's rank and the word's, by bits
+        self.pair = ((v << self.bits) | w)[:-1]
 
     def runs(self, pairs: np.ndarray, ranges: int, hot: dict[int, int]) -> Iterator[tuple[int, np.ndarray, tuple[bytes, bytes, bytes]]]:
         """(range, places, (contexts, words per context, words)) of sorted distinct pairs."""
-        v, w = np.divmod(pairs, len(self.hashes))
-        hv = self.hashes[v]
-        rng = hv % ranges
+        v, w = pairs >> self.bits, pairs & ((1 << self.bits) - 1)
+        home = self.hashes % ranges
+        rng = home[v]
         if hot:
-            names = np.array(sorted(hot), dtype=np.int64)
-            at = np.minimum(np.searchsorted(names, hv), len(names) - 1)
-            parts = np.where(names[at] == hv, np.array([hot[x] for x in names.tolist()])[at], 1)
-            rng = (rng + (self.hashes[w] >> 8) % parts) % ranges
+            parts = np.ones(len(self.hashes), dtype=np.int64)
+            found = np.isin(self.hashes, np.fromiter(hot, dtype=np.int64, count=len(hot)))
+            parts[found] = [hot[x] for x in self.hashes[found].tolist()]
+            some = np.flatnonzero(found[v])
+            rng[some] = (rng[some] + (self.hashes[w[some]] >> 8) % parts[v[some]]) % ranges
         by = np.argsort(rng.astype(np.uint16) if ranges < 65536 else rng, kind="stable")
         edges = np.flatnonzero(np.diff(rng[by], prepend=-1))
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(by)], strict=True):
@@ -274,12 +322,13 @@ def frequent_contexts(docs: DataFrame) -> tuple[int, dict[int, int]]:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, raw in texts(batch, most=SLICE):
-                found, _ = word_hashes(b"\n".join(raw).lower())
-                total = len(found) + len(raw)
-                words, n = np.unique(found[::STRIDE], return_counts=True)
-                some = 2 * HOT_WORDS * STRIDE * n >= total
-                rows = [(-1, total), (_START, len(raw)), *zip(words[some].tolist(), (STRIDE * n[some]).tolist(), strict=True)]
-                yield _arrow(rows, "h bigint, n bigint")
+                flat = b"\n".join(raw).lower()
+                starts, sizes = word_edges(flat)
+                total = len(starts) + len(raw)
+                words, at = _ranks(hashes_at(flat, starts[::STRIDE], sizes[::STRIDE]))
+                n = STRIDE * np.bincount(at, minlength=len(words))
+                some = 2 * HOT_WORDS * n >= total
+                yield pa.RecordBatch.from_arrays([pa.array(np.append([-1, _START], words[some])), pa.array(np.append([total, len(raw)], n[some]))], ["h", "n"])
 
     sums = docs.select("text").mapInArrow(tally, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     sums = materialize(sums, "lm-frequent")
@@ -309,22 +358,28 @@ def pair_counts(docs: DataFrame, ranges: int, hot: dict[int, int]) -> DataFrame:
                 keys = np.sort(s.pair * 2 + train)
                 first = np.flatnonzero(np.diff(keys >> 1, prepend=-1))
                 counts = np.add.reduceat(keys & 1, first)
-                rows = [(r, v, n, w, counts[mine].astype("<u4").tobytes()) for r, mine, (v, n, w) in s.runs(keys[first] >> 1, ranges, hot)]
+                rows = [(r, v, n, w, _small(counts[mine])) for r, mine, (v, n, w) in s.runs(keys[first] >> 1, ranges, hot)]
                 yield _arrow(rows, PAIRS)
 
     def merge(table: pa.Table) -> pa.Table:
         column = lambda c, f: np.concatenate([f(x) for x in table.column(c).to_pylist()])
-        contexts, at = np.unique(column("v", _unpack), return_inverse=True)
+        contexts, at = _ranks(column("v", _unpack))
         v = np.repeat(at, column("n", _numbers))
-        words, w = np.unique(column("w", _unpack), return_inverse=True)
-        key = v * len(words) + w
+        words, w = _ranks(column("w", _unpack))
+        bits = len(words).bit_length()
+        key = (v << bits) | w
         del v, w, at
-        order = np.argsort(key, kind="stable")
-        key, c = key[order], column("c", _numbers)[order]
-        del order
+        c = column("c", _wide)
+        most = int(c.max()).bit_length()
+        if len(contexts).bit_length() + bits + most < 63:  # counts fit below the key
+            key = np.sort((key << most) | c)
+            key, c = key >> most, key & ((1 << most) - 1)
+        else:
+            order = np.argsort(key, kind="stable")
+            key, c = key[order], c[order]
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        v, w = np.divmod(key[first], len(words))
-        row = (table.column("rng")[0].as_py(), _pack(contexts), np.bincount(v, minlength=len(contexts)).astype("<u4").tobytes(), _pack(words), w.astype("<u4").tobytes(), np.add.reduceat(c, first).astype("<u8").tobytes())
+        v, w = key[first] >> bits, key[first] & ((1 << bits) - 1)
+        row = (table.column("rng")[0].as_py(), _pack(contexts), _small(np.bincount(v, minlength=len(contexts))), _pack(words), w.astype("<u4").tobytes(), _small(np.add.reduceat(c, first)))
         return _table([row], MODEL)
 
     posted = docs.select("doc_id", "text").mapInArrow(pairs, PAIRS)
@@ -332,42 +387,28 @@ def pair_counts(docs: DataFrame, ranges: int, hot: dict[int, int]) -> DataFrame:
 
 
 # -- sampling --------------------------------------------------------------------
-#: Rows between ranges of pairs (rng) and ranges of words (wr).  PAIR_ROW: the pairs of a
-#: range; TABLES: their tables; SENT: tables and counts by word; REPLY: the words'
-#: customers and tables, in the order of SENT; WORDS: state of a words' range; HOT and
-#: SUMS: numbers to be added up.
+#: Rows between ranges of pairs (rng) and ranges of words (wr).  MODEL_ROW: the pairs of a
+#: range; PARTIES: those of two customers or more, which alone are reseated; TABLES: their
+#: tables; SENT: tables by word; REPLY: the words' customers and tables, in the order of
+#: SENT; KEPT: what a words' range keeps for all turns; WORDS: its state; HOT and SUMS:
+#: numbers to be added up.
 MAIL = "rng int, wr int, kind int, a binary, b binary, c binary, d binary, e binary, s array<double>"
-PAIR_ROW, TABLES, SENT, REPLY, WORDS, HOT, SUMS = range(7)
+MODEL_ROW, PARTIES, TABLES, SENT, REPLY, KEPT, WORDS, HOT, SUMS = range(9)
 
 
 def _mail(rng: int, wr: int, kind: int, *blobs: bytes, s: list[float] | None = None) -> tuple:
     return (rng, wr, kind, *blobs, *[None] * (5 - len(blobs)), s)
 
 
-class _Range:
-    """The restaurants of one range, from its rows."""
+class _Seats:
+    """Some parties of a range with their words' places in the replies."""
 
-    def __init__(self, rows: list[dict], hot: dict[int, tuple[float, float] | None], samples: int):
-        model = next(r for r in rows if r["kind"] == PAIR_ROW)
-        self.rng, self.words = model["rng"], model["c"]
-        self.contexts, self.sizes = _unpack(model["a"]), _numbers(model["b"])
-        self.place, self.count = _numbers(model["d"]), _numbers(model["e"], "<u8")
-        self.room = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.tables = np.minimum(self.count, 1)
-        for r in rows:
-            if r["kind"] == TABLES:
-                self.tables[self.count > 1] = _numbers(r["a"])
-        self.customers = np.bincount(self.room, weights=self.count, minlength=len(self.sizes))
-        self.totals = np.bincount(self.room, weights=self.tables, minlength=len(self.sizes))
-        self.split = np.isin(self.contexts, np.fromiter(hot, dtype=np.int64, count=len(hot)))
-        self.shares = [(float(v), float(t), float(c)) for v, t, c in zip(self.contexts[self.split], self.totals[self.split], self.customers[self.split], strict=True)]
-        for i in np.flatnonzero(self.split).tolist():  # totals over all ranges, as of the sweep before
-            self.totals[i], self.customers[i] = hot[int(self.contexts[i])] or (self.totals[i], self.customers[i])
-        replies = sorted((r for r in rows if r["kind"] == REPLY), key=lambda r: r["wr"])
-        if replies:
-            self.above, self.above_tables, self.known = (np.concatenate([_numbers(r[x], "<u8") for r in replies]) for x in "abc")
-            self.mean_sum = np.concatenate([_numbers(r["d"], "<f8") for r in replies]) if replies[0]["d"] else 0.0
-        self.samples = samples
+    def __init__(self, rng: int, room: np.ndarray, place: np.ndarray, count: np.ndarray, rows: list[dict]):
+        self.rng, self.room, self.place, self.count = rng, room, place, count
+        self.tables = next((_wide(r["a"]) for r in rows if r["kind"] == TABLES), np.ones(len(count), dtype=np.int64))
+        self.replies = sorted((r for r in rows if r["kind"] == REPLY), key=lambda r: r["wr"])
+        if self.replies:
+            self.above, self.above_tables = (np.concatenate([_wide(r[x]) for r in self.replies]) for x in "ab")
 
     def parent(self, g: dict) -> Parent:
         """The words' restaurant without the own tables of each party."""
@@ -376,16 +417,44 @@ class _Range:
         mass = customers - g["d1"] * np.minimum(self.above_tables[self.place], customers) + base
         return Parent(mass, THETA + g["n1"] - self.tables, customers <= 0, g["d1"], True)
 
+    def sweep(self, totals: np.ndarray, g: dict, rng: np.random.Generator) -> None:
+        if len(self.count):
+            sweep(self.room, self.count, self.tables, totals, self.parent(g), Stirling(g["d2"]), THETA, rng)
+
+
+class _Range:
+    """The restaurants of one range, from its rows, when the seating is read off."""
+
+    def __init__(self, rows: list[dict], hot: dict[int, tuple[float, float]], samples: int):
+        model = next(r for r in rows if r["kind"] == MODEL_ROW)
+        self.rng, self.words, self.samples = model["rng"], model["c"], samples
+        self.contexts, self.sizes = _unpack(model["a"]), _wide(model["b"])
+        self.place, self.count = _numbers(model["d"]), _wide(model["e"])
+        self.room = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.many = np.flatnonzero(self.count > 1)
+        self.seats = _Seats(self.rng, self.room[self.many], self.place[self.many], self.count[self.many], rows)
+        self.customers = np.bincount(self.room, weights=self.count, minlength=len(self.sizes))
+        self.totals = np.bincount(self.room, weights=self.tables(), minlength=len(self.sizes))
+        for i in np.flatnonzero(np.isin(self.contexts, np.fromiter(hot, dtype=np.int64, count=len(hot)))).tolist():
+            self.totals[i], self.customers[i] = hot[int(self.contexts[i])]  # over all ranges, as of the sweep before
+        self.known = np.concatenate([_wide(r["c"]) for r in self.seats.replies])
+        self.mean_sum = np.concatenate([_numbers(r["d"], "<f8") for r in self.seats.replies])
+
+    def tables(self) -> np.ndarray:
+        tables = np.minimum(self.count, 1)
+        tables[self.many] = self.seats.tables
+        return tables
+
     def sweep(self, g: dict, rng: np.random.Generator) -> None:
-        sweep(self.room, self.count, self.tables, self.totals, self.parent(g), Stirling(g["d2"]), THETA, rng)
+        self.seats.sweep(self.totals, g, rng)
 
     def predictive(self, g: dict) -> np.ndarray:
         """P(word | context) of every pair under this seating and the mean over the
         sampled seatings of the words' restaurant."""
-        mean = (self.mean_sum + _above(self.above, self.above_tables, g)) / self.samples
+        mean = (self.mean_sum + _above(self.seats.above, self.seats.above_tables, g)) / self.samples
         seated = THETA + self.customers
         free = (THETA + g["d2"] * self.totals) / seated
-        return (self.count - g["d2"] * self.tables) / seated[self.room] + free[self.room] * mean[self.place]
+        return (self.count - g["d2"] * self.tables()) / seated[self.room] + free[self.room] * mean[self.place]
 
 
 def _above(customers: np.ndarray, tables: np.ndarray, g: dict) -> np.ndarray:
@@ -396,48 +465,89 @@ def _borders(words: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted((words >> 16) * ranges >> 32, np.arange(ranges + 1))
 
 
-def _context_pass(table: pa.Table, g: dict, hot: dict, turn: int) -> pa.Table:
-    """Reseat the parties of a range (but in turn 0) and tell the words' ranges."""
-    x = _Range(table.to_pylist(), hot, 1)
-    if turn:
-        x.sweep(g, np.random.default_rng([1, turn, x.rng]))
-    words = _unpack(x.words)
-    tables, count = (np.bincount(x.place, weights=y, minlength=len(words)).astype("<u8") for y in (x.tables, x.count))
-    cuts = _borders(words, g["wr"])
-    rows = [_mail(x.rng, k, SENT, x.words[6 * a : 6 * b], tables[a:b].tobytes(), count[a:b].tobytes() if not turn else None) for k, a, b in zip(range(g["wr"]), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]
-    rows.append(_mail(x.rng, -1, TABLES, x.tables[x.count > 1].astype("<u4").tobytes()))
-    own = np.bincount(x.room, weights=x.tables, minlength=len(x.sizes))[x.split].tolist()
-    rows += [_mail(x.rng, -1, HOT, s=[v, t, c]) for (v, _, c), t in zip(x.shares, own, strict=True)]
-    rows.append(_mail(x.rng, -1, SUMS, s=[float((x.count == 1).sum()), float((x.count == 2).sum()), 0.0, 0.0, 0.0, 0.0]))
-    return _table(rows, MAIL)
+def _seat_first(rng: int, v: bytes, n: bytes, hashes: bytes, place: bytes, c: bytes, ranges: int, hot: list[int]) -> list[tuple]:
+    """Turn 0: every party of a range at one table.  The words' ranges are told of all
+    words, and the parties that will be reseated are set apart: only those, and only their
+    words and restaurants (and the split ones), take part in the turns that follow."""
+    contexts, place, count, words = _unpack(v), _numbers(place), _wide(c), _unpack(hashes)
+    room, many = np.repeat(np.arange(len(contexts)), _wide(n)), np.flatnonzero(count > 1)
+    per_word = lambda at: np.bincount(place[at], minlength=len(words))
+    tables, moving = per_word(np.flatnonzero(count)), per_word(many)
+    known = np.bincount(place, weights=count, minlength=len(words)).astype(np.int64)
+    cuts = _borders(words, ranges)
+    out = [_mail(rng, k, SENT, _pack(words[a:b]), _small(tables[a:b]), _small(known[a:b]), _small(moving[a:b])) for k, a, b in zip(range(ranges), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]
+    split, parties = np.isin(contexts, np.array(hot, dtype=np.int64)), np.bincount(room[many], minlength=len(contexts))
+    kept = np.flatnonzero((parties > 0) | split)
+    alone, customers = (np.bincount(room, weights=y, minlength=len(contexts)) for y in (count == 1, count))
+    shares = [[float(contexts[kept[i]]), float(customers[kept[i]]), float(i)] for i in np.flatnonzero(split[kept]).tolist()]
+    at = (np.cumsum(moving > 0) - 1)[place[many]]
+    out.append(_mail(rng, -1, PARTIES, _small(parties[kept]), _small(alone[kept]), _small(at), _small(count[many]), s=[x for share in shares for x in share]))
+    out += [_mail(rng, -1, HOT, s=[context, float(alone[kept[int(i)]] + parties[kept[int(i)]]), n]) for context, n, i in shares]
+    out.append(_mail(rng, -1, SUMS, s=[float((count == 1).sum()), float((count == 2).sum()), 0.0, 0.0, 0.0, 0.0]))
+    return out
 
 
-def _word_pass(table: pa.Table, g: dict, turn: int, sampling: bool, last: bool) -> pa.Table:
-    """Reseat the words of a range (but in turn 0) and answer the ranges of pairs.  While
-    ``sampling``, the state before this turn is added to the mean."""
+def _context_pass(table: pa.Table, g: dict, hot: dict[int, tuple[float, float]], turn: int) -> pa.Table:
+    """Reseat the parties of a range and tell the words' ranges."""
     rows = table.to_pylist()
+    row = next(r for r in rows if r["kind"] == PARTIES)
+    parties, alone = _wide(row["a"]), _wide(row["b"])
+    x = _Seats(row["rng"], np.repeat(np.arange(len(parties)), parties), _wide(row["c"]), _wide(row["d"]), rows)
+    own = lambda: alone + np.bincount(x.room, weights=x.tables, minlength=len(parties))
+    totals, shares = own(), [row["s"][i : i + 3] for i in range(0, len(row["s"]), 3)]
+    for context, _, i in shares:  # totals over all ranges, as of the sweep before
+        totals[int(i)] = hot[int(context)][0]
+    x.sweep(totals, g, np.random.default_rng([1, turn, x.rng]))
+    out, told, start = [_mail(x.rng, -1, TABLES, _small(x.tables))], np.bincount(x.place, weights=x.tables), 0
+    for r in x.replies:
+        n = (len(r["a"]) - 1) // r["a"][0]
+        out.append(_mail(x.rng, r["wr"], SENT, None, _small(told[start : start + n])))
+        start += n
+    now = own() if shares else None
+    out += [_mail(x.rng, -1, HOT, s=[context, float(now[int(i)]), n]) for context, n, i in shares]
+    return _table(out, MAIL)
+
+
+def _word_pass(table: pa.Table, g: dict, turn: int, sampling: bool, last: bool) -> pa.Table:
+    """Reseat the words of a range (but in turn 0) and answer the ranges of pairs: for the
+    parties that are reseated, or in the ``last`` turn for all.  While ``sampling``, the
+    state before this turn is added to the mean."""
+    rows, out = table.to_pylist(), []
     sent = sorted((r for r in rows if r["kind"] == SENT), key=lambda r: r["rng"])
-    asked, wr = [_unpack(r["a"]) for r in sent], sent[0]["wr"]
-    words, place = np.unique(np.concatenate(asked), return_inverse=True)
-    total = lambda c: np.bincount(place, weights=np.concatenate([_numbers(r[c], "<u8") for r in sent]), minlength=len(words)).astype(np.int64)
-    customers = total("b")
+    first = [r for r in sent if r["a"] is not None]
+    if first:
+        words, place = _ranks(np.concatenate([_unpack(r["a"]) for r in first]))
+        by_word = lambda c: np.concatenate([_wide(r[c]) for r in first])
+        total = lambda y: np.bincount(place, weights=y, minlength=len(words)).astype(np.int64)
     if turn:
-        state = next(r for r in rows if r["kind"] == WORDS)
-        before, known, old, mean = (_numbers(state[c], kind) for c, kind in zip("abcd", ("<u8", "<u8", "<u8", "<f8"), strict=True))
+        kept, state = (next(r for r in rows if r["kind"] == kind) for kind in (KEPT, WORDS))
+        wr, still, known, moved = kept["wr"], _wide(kept["a"]), _wide(kept["b"]), _wide(kept["c"])
+        told = np.concatenate([np.zeros(0, dtype=np.int64), *[_wide(r["b"]) for r in sent if r["a"] is None]])
+        customers = still + np.bincount(moved, weights=told, minlength=len(still)).astype(np.int64)
+        before, old = _wide(state["a"]), _wide(state["b"])
+        mean = _numbers(state["c"], "<f8") if state["c"] else np.zeros(len(still))
         if sampling:
             mean = mean + _above(old, before, g)
         # A party that lost customers keeps no more tables than it has customers.
         tables = np.clip(before, np.minimum(customers, 1), customers)
         totals = np.array([g["t1"] + float(tables.sum() - before.sum())])
-        uniform = Parent(np.full(len(words), g["base"]), np.ones(len(words)), np.zeros(len(words), dtype=bool), 0.0, False)
-        sweep(np.zeros(len(words), dtype=np.int64), customers, tables, totals, uniform, Stirling(g["d1"]), THETA, np.random.default_rng([2, turn, wr]))
+        uniform = Parent(np.full(len(still), g["base"]), np.ones(len(still)), np.zeros(len(still), dtype=bool), 0.0, False)
+        sweep(np.zeros(len(still), dtype=np.int64), customers, tables, totals, uniform, Stirling(g["d1"]), THETA, np.random.default_rng([2, turn, wr]))
+        ranges, sizes = _wide(kept["d"]), _wide(kept["e"])
     else:
-        known, tables, mean = total("c"), np.minimum(customers, 1), np.zeros(len(words))
-    u8 = lambda x: x.astype("<u8").tobytes()
-    out, edges = [_mail(-1, wr, WORDS, u8(tables), u8(known), u8(customers), mean.tobytes())], np.cumsum([0, *[len(x) for x in asked]]).tolist()
-    for r, a, b in zip(sent, edges[:-1], edges[1:], strict=True):
-        at = place[a:b]
-        out.append(_mail(r["rng"], wr, REPLY, u8(customers[at]), u8(tables[at]), *([u8(known[at]), mean[at].tobytes()] if last else [b"", b""])))
+        wr, customers, known, mean = first[0]["wr"], total(by_word("b")), total(by_word("c")), np.zeros(len(words))
+        tables, moving = np.minimum(customers, 1), by_word("d")
+        sizes = np.array([int((_wide(r["d"]) > 0).sum()) for r in first])
+        ranges, sizes, moved = np.array([r["rng"] for r in first])[sizes > 0], sizes[sizes > 0], place[moving > 0]
+        out.append(_mail(-1, wr, KEPT, _small(customers - total(moving)), _small(known), _small(moved), _small(ranges), _small(sizes)))
+    if last:
+        ranges, sizes, moved = np.array([r["rng"] for r in first]), np.array([len(r["a"]) // 6 for r in first]), place
+    else:
+        out.append(_mail(-1, wr, WORDS, _small(tables), _small(customers), mean.tobytes() if sampling else None))
+    ends = np.cumsum(sizes)
+    for r, a, b in zip(ranges.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+        at = moved[a:b]
+        out.append(_mail(r, wr, REPLY, _small(customers[at]), _small(tables[at]), *([_small(known[at]), mean[at].tobytes()] if last else [])))
     out.append(_mail(-1, wr, SUMS, s=[float(f) for f in (known.sum(), (known > 0).sum(), customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum())]))
     return _table(out, MAIL)
 
@@ -461,27 +571,38 @@ def train(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tu
     pairs = pair_counts(docs, g["ranges"], hot_parts)
     entries = pairs.agg(F.sum(F.length("words"))).first()[0] or 0
     g["wr"] = max(4, -(-entries // (6 * WORD_RANGE)))
-    nothing = F.lit(None).cast("binary")
-    model = pairs.select("rng", F.lit(-1).alias("wr"), F.lit(PAIR_ROW).alias("kind"), F.col("v").alias("a"), F.col("n").alias("b"), F.col("words").alias("c"), F.col("place").alias("d"), F.col("c").alias("e"), F.lit(None).cast("array<double>").alias("s"))
-    hot: dict = dict.fromkeys(hot_parts)
-    last, up, down = burn_in + samples, None, None
+    word_ranges, names = g["wr"], sorted(hot_parts)
+
+    def seat_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield _arrow(_seat_first(*batch.slice(i, 1).to_pylist()[0].values(), word_ranges, names), MAIL)
+
+    of = lambda mail, kind: mail.where(F.col("kind") == kind)
+    first = materialize(pairs.mapInArrow(seat_first, MAIL), "lm-contexts")
+    g["d2"] = discount_of(*_sums(first)[:2])
+    hot: dict = {}
+    last, up, down, kept = burn_in + samples, first, None, None
     for turn in range(last + 1):
-        inputs = model if up is None else model.unionAll(up.where(F.col("kind") == TABLES)).unionAll(down.where(F.col("kind") == REPLY))
-        before = up
-        up = materialize(inputs.groupBy("rng").applyInArrow(_bound(_context_pass, dict(g), dict(hot), turn), MAIL), "lm-contexts")
-        sums = _sums(up)
-        g["d2"] = discount_of(sums[0], sums[1])
-        if hot:
-            found = up.where(F.col("kind") == HOT).groupBy(F.col("s")[0].alias("v")).agg(F.sum(F.col("s")[1]).alias("t"), F.sum(F.col("s")[2]).alias("c")).collect()
+        before, old = up, down
+        if turn:
+            inputs = of(first, PARTIES).unionAll(of(down, REPLY))
+            inputs = inputs if up is first else inputs.unionAll(of(up, TABLES))
+            up = materialize(inputs.groupBy("rng").applyInArrow(_bound(_context_pass, dict(g), dict(hot), turn), MAIL), "lm-contexts")
+        if hot_parts:
+            found = of(up, HOT).groupBy(F.col("s")[0].alias("v")).agg(F.sum(F.col("s")[1]).alias("t"), F.sum(F.col("s")[2]).alias("c")).collect()
             hot = {**hot, **{int(r["v"]): (r["t"], r["c"]) for r in found}}
-        sent = up.where(F.col("kind") == SENT)
-        inputs = sent if down is None else sent.unionAll(down.where(F.col("kind") == WORDS))
-        old = down
+        inputs = of(up, SENT)
+        if turn:
+            inputs = inputs.unionAll(of(kept, KEPT)).unionAll(of(down, WORDS))
+        if turn and turn == last:
+            inputs = inputs.unionAll(of(first, SENT))
         down = materialize(inputs.groupBy("wr").applyInArrow(_bound(_word_pass, dict(g), turn, turn - 1 > burn_in, turn == last), MAIL), "lm-words")
+        kept = down if kept is None else kept
         g["n"], g["v"], g["n1"], g["t1"], once, twice = _sums(down)
         g["base"], g["d1"] = 1.0 / (g["v"] + 1), discount_of(once, twice)
         for table in (before, old):
-            if table is not None:
+            if not any(table is x for x in (None, up, first, kept)):
                 discard(table)
     now, shared = dict(g), dict(hot)
 
@@ -490,12 +611,15 @@ def train(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tu
         for turn in range(samples):
             x.sweep(now, np.random.default_rng([3, turn, x.rng]))
             p = p + x.predictive(now)
-        row = (x.rng, _pack(x.contexts), x.sizes.astype("<u4").tobytes(), x.words, x.place.astype("<u4").tobytes(), (p / samples).astype("<f4").tobytes(), x.known.astype("<u8").tobytes())
+        row = (x.rng, _pack(x.contexts), _small(x.sizes), x.words, x.place.astype("<u4").tobytes(), (p / samples).astype("<f4").tobytes(), _small(x.known))
         return _table([row], SCORED)
 
-    inputs = model.unionAll(up.where(F.col("kind") == TABLES)).unionAll(down.where(F.col("kind") == REPLY))
+    nothing = F.lit(None)
+    model = pairs.select("rng", F.lit(-1).alias("wr"), F.lit(MODEL_ROW).alias("kind"), F.col("v").alias("a"), F.col("n").alias("b"), F.col("words").alias("c"), F.col("place").alias("d"), F.col("c").alias("e"), nothing.cast("array<double>").alias("s"))
+    inputs = model.unionAll(of(down, REPLY))
+    inputs = inputs if up is first else inputs.unionAll(of(up, TABLES))
     scored = materialize(inputs.groupBy("rng").applyInArrow(finish, SCORED), "lm-scored")
-    for table in (pairs, up, down):
+    for table in {id(t): t for t in (pairs, first, kept, up, down)}.values():
         discard(table)
     return scored, g
 
@@ -527,7 +651,7 @@ def _posts(docs: DataFrame, g: dict) -> DataFrame:
                 for r, mine, names in s.runs(pair[first], g["ranges"], g["hot"]):
                     ends = np.cumsum(k[mine])
                     at = np.arange(ends[-1]) + np.repeat(first[mine] - (ends - k[mine]), k[mine])
-                    rows.append((r, key, *names, k[mine].astype("<u4").tobytes(), who[at].astype(small).tobytes(), None))
+                    rows.append((r, key, *names, _small(k[mine]), who[at].astype(small).tobytes(), None))
                 key += 1
                 yield _arrow(rows, POSTS)
 
@@ -536,9 +660,10 @@ def _posts(docs: DataFrame, g: dict) -> DataFrame:
 
 def _by_pair(s: _Slice, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of all tokens in order with their texts; one sort of both where they fit."""
-    who = np.repeat(np.arange(n), s.sizes)
-    if len(s.hashes) ** 2 * n < 2**63:
-        return np.divmod(np.sort(s.pair * n + who), n)
+    who, most = np.repeat(np.arange(n), s.sizes), n.bit_length()
+    if 2 * s.bits + most < 63:
+        both = np.sort((s.pair << most) | who)
+        return both >> most, both & ((1 << most) - 1)
     order = np.argsort(s.pair, kind="stable")
     return s.pair[order], who[order]
 
@@ -549,20 +674,21 @@ def _add(posts: pa.Table, scored: pa.Table, g: dict) -> pa.Table:
     if scored.num_rows:
         x = scored.to_pylist()[0]
         contexts, words = _unpack(x["v"]), _unpack(x["words"])
-        c = _numbers(x["c"], "<u8")
+        c = _wide(x["c"])
         base, known = np.log10((c + 0.5) / (g["n"] + 0.5 * (g["v"] + 1))), c > 0
-        pairs = np.repeat(np.arange(len(contexts)), _numbers(x["n"])) * len(words) + _numbers(x["place"])
+        pairs = np.repeat(np.arange(len(contexts)), _wide(x["n"])) * len(words) + _numbers(x["place"])
         score = np.log10(np.maximum(np.frombuffer(x["p"], dtype="<f4").astype(np.float64), 1e-30))
     for y in posts.to_pylist():
         if y["ids"] is not None:
             rows.append((y["slice"], y["rng"], *[None] * 4, y["ids"]))
             continue
-        k = _numbers(y["k"])
+        k = _wide(y["k"])
         v, w = np.repeat(np.searchsorted(contexts, _unpack(y["v"])), _numbers(y["n"])), np.searchsorted(words, _unpack(y["w"]))
         at = np.searchsorted(pairs, v * len(words) + w)
         who = np.frombuffer(y["docs"], dtype=f"<u{len(y['docs']) // int(k.sum())}")
-        docs, place = np.unique(who, return_inverse=True)
-        sums = [np.bincount(place, weights=np.repeat(values, k), minlength=len(docs)) for values in (base[w], score[at], known[w])]
+        of = np.repeat(np.arange(len(k)), k)
+        docs = np.flatnonzero(np.bincount(who))
+        sums = [np.bincount(who, weights=values[of])[docs] for values in (base[w], score[at], known[w])]
         rows.append((y["slice"], y["rng"], docs.astype("<u4").tobytes(), sums[0].tobytes(), sums[1].astype("<f4").tobytes(), sums[2].astype("<u4").tobytes(), None))
     return _table(rows, PARTS)
 

@@ -142,3 +142,35 @@ def test_without_training_texts(spark):
     out = [d for d in range(50) if held(d)][:3]
     none = by_id(lm.score_texts(spark.createDataFrame([(d, "a b") for d in out], "doc_id long, text string"), waves=1))
     assert all((r["train_tokens"], r["n_known"], r["base_score"], r["score"]) == (0, 0, 0.0, 0.0) for r in none.values())
+
+
+def test_turns_carry_only_the_parties_that_are_reseated(spark, monkeypatch):
+    """A party of one customer has one table for good: once it is seated, neither it nor
+    its words go between ranges until the seating is read off."""
+    train = next(d for d in range(1, 99) if not held(d))
+    text = " ".join(f"w{i}" for i in range(20_000)) + " again and again and again"
+    docs, sent = spark.createDataFrame([(train, text)], "doc_id long, text string"), {}
+    write = lm.materialize
+
+    def spy(df, name):
+        out = write(df, name)
+        rows = out.collect() if name in ("lm-contexts", "lm-words") else []
+        sent.setdefault(name, []).append(sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray)) and r["kind"] in (getattr(lm, k) for k in ("TABLES", "SENT", "REPLY"))))
+        return out
+
+    monkeypatch.setattr(lm, "materialize", spy)
+    lm.train(docs)
+    first, *turns = sent["lm-contexts"]
+    assert first > 6 * 20_000 and len(turns) == lm.BURN_IN + lm.SAMPLES
+    assert max(turns) < first / 50 and max(sent["lm-words"][:-1]) < first / 50
+    assert sent["lm-words"][-1] > 20_000  # all words are read off in the end
+
+
+def test_packed_numbers_and_ranks():
+    rng = np.random.default_rng(3)
+    for top in (1, 255, 256, 65_535, 65_536, 2**32 - 1, 2**32, 2**48 - 1):
+        x = np.append(rng.integers(0, top, 50, endpoint=True), [0, top])
+        assert (lm._wide(lm._small(x)) == x).all() and (lm._unpack(lm._pack(x)) == x).all()
+        assert all((a == b).all() for a, b in zip(lm._ranks(x), np.unique(x, return_inverse=True), strict=True))
+    empty = np.zeros(0, dtype=np.int64)
+    assert not len(lm._wide(lm._small(empty))) and not len(lm._unpack(lm._pack(empty))) and not len(lm._ranks(empty)[0])
